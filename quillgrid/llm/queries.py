@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import packing, pii, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,49 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: fixed formats and the model's additions."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS[:4]],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("pii")).alias("spans"),
+        F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"), "toxic_hits"
+    )
+
+
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: fixed formats and the Markov models' additions."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs)).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("secrets")).alias("spans"),
+        count("markov").alias("n_markov"),
+    )
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, by their number of words, in 16 buckets and batches of 16,384 words."""
     docs = _table(spark, sf_dir, "documents")
@@ -31,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op3_ring_shards,
+            op4_boosted_pii,
+            op5_lexicon_toxicity,
+            op8_markov_secrets,
             op9_length_buckets,
         )
     }
