@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, secrets, sharding, toxicity
+from . import ann, decontamination, packing, pii, secrets, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of whole texts with benchmark items, substitutions tolerated."""
+    return decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 under the law of equal row counts."""
     put = sharding.assign_shards(_table(spark, sf_dir, "documents"), 16)
@@ -48,6 +53,11 @@ def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text: fixed formats and the Markov models' additions."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -69,18 +79,52 @@ def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_length().alias("length")))
 
 
+def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    table = _table(spark, sf_dir, "embeddings")
+    index, centroids = ann.build_index(table, key="vec_id", vector="embedding")
+    return ann.search(index, table.filter(F.col("vec_id") % 20 == 0), centroids, key="vec_id", vector="embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op2_spaced_seeds,
             op3_ring_shards,
             op4_boosted_pii,
             op5_lexicon_toxicity,
+            op6_zstd_warc,
             op8_markov_secrets,
             op9_length_buckets,
+            op10_one_bit_codes,
         )
     }
 
 
+_ORACLE_OP6 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), i ->
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS BIGINT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p
+"""
+
+_ORACLE_OP10 = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, array_inner_product(q.e, x.e) AS score
+      FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_zstd_warc": _ORACLE_OP6}
