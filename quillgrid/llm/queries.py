@@ -108,7 +108,7 @@ WITH p AS (
          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
   FROM pages)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
-       list_aggregate(list_transform(range(32), i ->
+       list_aggregate(list_transform(range(32), lambda i:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS BIGINT), 1)),
          'string_agg', '') AS payload_digest,
@@ -117,14 +117,5 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM p
 """
 
-_ORACLE_OP10 = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, array_inner_product(q.e, x.e) AS score
-      FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY rank <= 20
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op6_zstd_warc": _ORACLE_OP6}
