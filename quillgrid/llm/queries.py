@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, packing, pii, secrets, sharding, toxicity, warc
+from . import ann, decontamination, ngram_join, packing, pii, secrets, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op6_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op7_order_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of whole texts linked by 5-word shingles at a similarity of 0.8."""
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text: fixed formats and the Markov models' additions."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_boosted_pii,
             op5_lexicon_toxicity,
             op6_zstd_warc,
+            op7_order_filters,
             op8_markov_secrets,
             op9_length_buckets,
             op10_one_bit_codes,
