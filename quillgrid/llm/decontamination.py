@@ -116,25 +116,50 @@ def _stretch(equal: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_words: int = 13, penalty: int = 4, block_words: int = 1_000_000) -> DataFrame:
-    """(key, item, start, end, item_start, item_end, matched): offsets in words, ends exclusive."""
+def _blocks(benchmark: DataFrame, item: str, item_text: str, block_words: int) -> Iterator[list[tuple]]:
+    """The items' ids and word hashes, about ``block_words`` words at a time."""
     sized = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     words = sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-words // block_words))
-    kinds = docs.schema[key].dataType, benchmark.schema[item].dataType
-    schema = f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, start long, end long, item_start long, item_end long, matched long"
-    parts = []
     for n in range(blocks):
-        own = sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()  # about block_words words
         items = []
-        for r in own:
+        for r in sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).toLocalIterator():
             data = np.frombuffer(r["text"].encode(), np.uint8)
             items.append((r["item"], Words(data, np.array([0, len(data)])).hashes))
-        got = docs.select(F.col(key), F.col(text)).mapInArrow(_pass(items, least_words, penalty), schema)
-        parts.append(got if blocks == 1 else stage(got, "overlaps"))
+        yield items
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_words: int = 13, penalty: int = 4, block_words: int = 1_000_000) -> DataFrame:
+    """(key, item, start, end, item_start, item_end, matched): offsets in words, ends exclusive."""
+    kinds = docs.schema[key].dataType, benchmark.schema[item].dataType
+    schema = f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, start long, end long, item_start long, item_end long, matched long"
+    parts = [docs.select(F.col(key), F.col(text)).mapInArrow(_pass(items, least_words, penalty), schema) for items in _blocks(benchmark, item, item_text, block_words)]
+    if len(parts) > 1:
+        parts = [stage(p, "overlaps") for p in parts]
     return reduce(DataFrame.unionAll, parts).withColumnsRenamed({"doc": key, "item": item})
 
 
+def drop_overlapping(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", least_words: int = 13, penalty: int = 4, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts overlap no item; no row is shuffled."""
+    place = docs.columns.index(text)
+
+    def keep(items: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = Seeds(items)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for at, _, data, offsets in text_chunks(b.column(place)):
+                    for r in seeds.overlaps(Words(data, offsets), least_words, penalty):
+                        clean[at + r[0]] = False
+                yield b.filter(pa.array(clean))
+
+        return run
+
+    for items in _blocks(benchmark, item, item_text, block_words):
+        docs = docs.mapInArrow(keep(items), docs.schema)
+    return docs
+
+
 def _pass(items: list, least: int, penalty: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items)
@@ -151,8 +176,3 @@ def _pass(items: list, least: int, penalty: int):
                 )
 
     return run
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The distinct keys of the texts that overlap an item."""
-    return find_overlaps(docs, benchmark, **options).select(options.get("key", "doc_id")).distinct()

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, ngram_join, packing, pii, secrets, sharding, toxicity, warc
+from . import ann, decontamination, ngram_join, packing, pii, secrets, sharding, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chained_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of whole texts that a text with a smaller id has as well."""
+    return substrings.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of whole texts with benchmark items, substitutions tolerated."""
     return decontamination.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_chained_seeds,
             op2_spaced_seeds,
             op3_ring_shards,
             op4_boosted_pii,
