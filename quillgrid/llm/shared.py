@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, where the session allows more: texts are long, and
+    a batch is held by the JVM and by Python."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
@@ -125,7 +134,7 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of about ``limit`` bytes: first row,
     row after the last, bytes, offsets within them.  A null counts as empty.  A longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
