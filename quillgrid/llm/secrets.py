@@ -75,9 +75,11 @@ def _touches(r: Column) -> Column:
     return F.exists("assign", hit) | F.exists("access", hit) | F.exists("hex", hit)
 
 
-def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5) -> tuple[list[float], float] | None:
+def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5, backoff: float = 1000.0) -> tuple[list[float], float] | None:
     """(log ratio of every pair of characters, threshold): counts over all texts.
 
+    A pair's probability leans on its second character's own, as ``backoff`` observations, so
+    that an unlabelled secret among the ordinary runs does not vouch for itself.
     The threshold is the log odds of an ordinary run, plus ln 100: a run is reported
     if it is a hundred times as likely to be random.
     """
@@ -88,10 +90,14 @@ def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5) -> tuple
     if len(totals) < 2:
         return None
     size, place = len(ALPHABET), {c: k for k, c in enumerate(ALPHABET)}
-    seen = {True: [[smoothing] * size for _ in range(size)], False: [[smoothing] * size for _ in range(size)]}
+    seen = {True: [[0] * size for _ in range(size)], False: [[0] * size for _ in range(size)]}
     for r in counted.collect():  # 2 x 67 x 67 rows at most
         seen[r["random"]][place[r["pair"][0]]][place[r["pair"][1]]] += r["n"]
-    log = {k: [[math.log(x / sum(row)) for x in row] for row in rows] for k, rows in seen.items()}
+    log = {}
+    for k, rows in seen.items():
+        single = [sum(c) + smoothing for c in zip(*rows, strict=True)]
+        total = sum(single)
+        log[k] = [[math.log((n + backoff * x / total) / (sum(row) + backoff)) for n, x in zip(row, single, strict=True)] for row in rows]
     ratio = [round(log[True][a][b] - log[False][a][b], 6) for a in range(size) for b in range(size)]
     return ratio, math.log(totals[False] / totals[True]) + math.log(100)
 
