@@ -7,11 +7,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .lang.parser import parse
-from .plans.program import Program
+from .plans.program import Program, register_storage
 from .session import config, parami, param, session
 from .tensor import Tensor, from_table
 
-__all__ = ["Tensor", "config", "explain", "from_table", "param", "parami", "parse", "q", "session"]
+__all__ = ["Tensor", "config", "explain", "from_table", "param", "parami", "parse", "q", "register_storage", "session"]
 
 
 def q(program: str, *, spark: SparkSession | None = None, **names: Any) -> Any:

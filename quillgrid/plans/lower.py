@@ -99,6 +99,19 @@ def is_row(v: Any) -> bool:
     return isinstance(v, (Col, Rec, Column)) or isinstance(v, Tup) and any(map(is_row, v.parts))
 
 
+#: Declared storages: name -> (parameters, view, store); view and store are callables on tables or closures of the language.
+STORAGES: dict[str, tuple] = {}
+
+
+@dataclass(frozen=True)
+class Stored:
+    """An array in a declared storage, with the arguments it was made with."""
+
+    name: str
+    args: tuple
+    table: Any
+
+
 class Lowering:
     def __init__(self, spark: SparkSession, env: dict[str, Any], fresh: t.Fresh | None = None):
         self.spark, self.env = spark, env
@@ -149,6 +162,8 @@ class Lowering:
             df = self.spark.range(low, high + (1 if step > 0 else -1), step).select(F.col("id").alias(n))
             return self._bind(g.pattern, self._join(s, df), s, Col(F.col(n), n), {n})
         inner = self.value(domain, replace(s, df=None) if isinstance(domain, (t.Comprehension, t.TensorOf)) else s)
+        if isinstance(inner, Stored):
+            inner = self._through(inner.name, 1, inner.args, inner.table)
         if isinstance(inner, Tensor):
             names = [self.new("i") for _ in inner.dims]
             v = self.new("v")
@@ -370,7 +385,8 @@ class Lowering:
             if isinstance(n, (t.Comprehension, t.Lambda)):
                 return
             if isinstance(n, t.Reduce) and isinstance(n.of, t.Comprehension) or isinstance(n, t.Method) and n.name == "length" and isinstance(n.of, t.Comprehension):
-                found.append(n)
+                if not in_row(n.of):
+                    found.append(n)
                 return
             if isinstance(n, t.TensorOf) and isinstance(n.of, t.Comprehension):
                 if n.of.quals and isinstance(n.of.quals[0], t.Generator) and isinstance(n.of.quals[0].domain, t.Name) and n.of.quals[0].domain.name not in s.scope and self.is_array(n.of.quals[0].domain.name):
@@ -380,6 +396,11 @@ class Lowering:
                 if isinstance(c, (t.Node, tuple)):
                     seek(c)
 
+        def in_row(c: t.Comprehension) -> bool:
+            """Over an array of the row itself."""
+            q = c.quals[0] if c.quals else None
+            return isinstance(q, t.Generator) and isinstance(q.domain, t.Name) and isinstance(s.scope.get(q.domain.name), Col)
+
         nested: list[t.TensorOf] = []
         seek(e)
         if s.df is None:
@@ -615,7 +636,20 @@ class Lowering:
             scope = self.match(params, args[0] if len(args) == 1 else Tup(tuple(args)), s)
         return self.value(f.body, replace(s, scope={**s.scope, **f.scope, **scope}))
 
+    def _through(self, name: str, which: int, args: tuple, table_: Any) -> Any:
+        """A table through a declared storage's view (1) or store (2)."""
+        params, f = STORAGES[name][0], STORAGES[name][which]
+        if isinstance(f, Closure):
+            scope = dict(zip(params, args, strict=True))
+            return self.apply(Closure(f.params, f.body, {**f.scope, **scope}), [table_], State(scope=scope))
+        return f(table_, *args)
+
     def _call(self, e: t.Call, s: State) -> Any:
+        if e.name in STORAGES and e.name not in self.env:
+            *args, of = [self.value(a, s) for a in e.args]
+            if isinstance(of, Stored):
+                of = self._through(of.name, 1, of.args, of.table)
+            return Stored(e.name, tuple(args), self._through(e.name, 2, tuple(args), of.cells() if isinstance(of, Tensor) else of))
         if e.name in ("map", "rdd", "dataset", "block_map", "list") and len(e.args) == 1 and e.name not in self.env:
             v = self.value(e.args[0], s)
             if isinstance(v, Tensor):
@@ -657,6 +691,8 @@ class Lowering:
         if isinstance(e.of, t.Name) and (e.of.name, e.name) in scalars.CONSTANTS and e.of.name not in self.env:
             return scalars.CONSTANTS[e.of.name, e.name]
         if e.name in ("length", "size") and isinstance(e.of, t.Comprehension):
+            if s.df is not None and (v := self._in_row(e.of, s)) is not None:
+                return Col(F.size(v.column))
             return self.reduced(e, s).first()[0]
         v = self.value(e.of, s)
         if isinstance(v, Tensor) and e.name in ("rows", "cols", "length", "dims"):
@@ -704,16 +740,19 @@ class Lowering:
         return cast(v, e.type)
 
     def _reduce(self, e: t.Reduce, s: State) -> Any:
+        v = None
         if not isinstance(e.of, t.Comprehension):
             v = self.value(e.of, s)
-            if isinstance(v, Col):  # an array in the row
-                kind = self.kind(v, s)
-                if isinstance(kind, T.ArrayType):
-                    fold = scalars.MONOIDS[e.op][1] if e.op in scalars.MONOIDS else self._function(e.op)
-                    first = F.get(v.column, F.lit(0))
-                    return Col(F.aggregate(F.slice(v.column, F.lit(2), F.greatest(F.size(v.column) - 1, F.lit(0))), first, lambda a, x: fold(a, x)))
         elif s.df is not None:
-            raise LoweringError("a reduction inside a row was not prepared")
+            v = self._in_row(e.of, s)
+            if v is None:
+                raise LoweringError("a reduction inside a row was not prepared")
+        if isinstance(v, Col) and isinstance(self.kind(v, s), T.ArrayType):
+            fold = scalars.MONOIDS[e.op][1] if e.op in scalars.MONOIDS else self._function(e.op)
+            first, element = F.get(v.column, F.lit(0)), self.kind(v, s).elementType
+            made = F.aggregate(F.slice(v.column, F.lit(2), F.greatest(F.size(v.column) - 1, F.lit(0))), first, lambda a, x: fold(a, x).cast(element))
+            empty = scalars.MONOIDS[e.op][2] if e.op in scalars.MONOIDS else None
+            return Col(made if empty is None or e.op == "++" else F.coalesce(made, F.lit(empty).cast(element)))
         out = self.reduced(e, s)
         return out.first()[0] if isinstance(out, DataFrame) else out
 
@@ -751,9 +790,12 @@ class Lowering:
                     out = replace(out, scope={**out.scope, **self.match(x.pattern, self.value(x.value, out), out)})
             return out
 
+        def keeps(test: t.Node) -> Callable:
+            return lambda c: column(self.value(test, inner(c)))
+
         for x in e.quals[1:]:
             if isinstance(x, t.Where):
-                over = F.filter(over, lambda c, x=x: column(self.value(x.test, inner(c))))
+                over = F.filter(over, keeps(x.test))
         return F.transform(over, lambda c: column(self.value(e.head, inner(c))))
 
     def _tensorof(self, e: t.TensorOf, s: State) -> Any:

@@ -17,20 +17,17 @@ from ..functions import scalars
 from ..lang import tree as t
 from ..session import config, materialise
 from ..tensor import Tensor, merge, store
-from .lower import Closure, Lowering, LoweringError, State, cast, coerce, column, is_row
+from .lower import STORAGES, Closure, Lowering, LoweringError, State, cast, coerce, column, is_row
 
 
 class LoopError(Exception):
     """A loop that has no bulk form."""
 
 
-#: Declared storages: name -> (view, store), each a callable on tables.
-STORAGES: dict[str, tuple] = {}
-
-
 def register_storage(name: str, view, store_) -> None:
-    """``view`` makes rows (index.., value) of a stored table, ``store_`` a stored table of such rows."""
-    STORAGES[name] = (view, store_)
+    """``view`` makes rows (index, value) of a stored table, ``store_`` a stored table of such rows; both take the
+    storage's arguments after the table.  A program then writes ``name(arguments) [ ... ]`` and scans the result."""
+    STORAGES[name] = ((), view, store_)
 
 
 class Program:
@@ -140,7 +137,7 @@ class Program:
             return self.value(s.value)
         if isinstance(s, t.TypeMap):
             view, put = Closure(s.view.params, s.view.body, {}), Closure(s.store.params, s.store.body, {})
-            STORAGES[s.name] = (view, put)
+            STORAGES[s.name] = (s.params, view, put)
             return None
         raise LoweringError(f"{type(s).__name__} is no statement")
 
