@@ -60,21 +60,24 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, *, limit: int = 400, supp
     toxic texts, and in four at least.
     """
     least = max(4, math.ceil(support * toxic.sum()))
-    bags = [set(_TOKEN.findall(t.lower())) for t in texts]
+    bag = lambda d: set(_TOKEN.findall(texts[d].lower()))  # noqa: E731  one text's words at a time are held
     where: Counter = Counter()
     heads: dict[tuple[str, bool], set[str]] = defaultdict(set)
     for d in np.flatnonzero(toxic):
-        where.update((w, False) for w in bags[d] if len(w) >= 4)
-        stems = {(w[:n], True): w for w in bags[d] for n in range(4, min(8, len(w)))}
+        own = bag(d)
+        where.update((w, False) for w in own if len(w) >= 4)
+        stems = {(w[:n], True): w for w in own for n in range(4, min(8, len(w)))}
         where.update(stems.keys())
         for t, w in stems.items():
             if len(heads[t]) < 3:
                 heads[t].add(w)
     where = Counter({t: n for t, n in where.items() if n >= least and (not t[1] or len(heads[t]) >= 3)})
+    heads.clear()
     clean: Counter = Counter()
     for d in np.flatnonzero(~toxic):
-        terms = {t for w in bags[d] if (t := (w, False)) in where}
-        terms.update(t for w in bags[d] for n in range(4, min(8, len(w))) if (t := (w[:n], True)) in where)
+        own = bag(d)
+        terms = {t for w in own if (t := (w, False)) in where}
+        terms.update(t for w in own for n in range(4, min(8, len(w))) if (t := (w[:n], True)) in where)
         clean.update(terms)
     weight = max(1.0, (~toxic).sum() / max(1, toxic.sum()))  # classes weigh alike
     good = [t for t, n in where.items() if n * weight >= precision * (n * weight + 4 * clean[t]) and clean[t] <= 0.1 * n]
@@ -285,11 +288,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 10_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 8_000) -> Model:
     """Learn from the labelled rows outside the held-out fifth, ``sample_rows`` at most.
 
-    The lexicon is learned from one half of them and the weights from the other, so
-    the weights see the lexicon as unseen texts do.
+    The weights are learned from each half's counts by the lexicon of the other half,
+    so they see a lexicon as unseen texts do; the lexicon that is kept comes from all.
     """
     rows = (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
@@ -308,13 +311,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(None, np.array([math.log(share / (1 - share))] + [0.0] * 8))
     texts = got["_text"].fillna("").tolist()
+    del got
     part = np.arange(len(texts)) % 2 == 0
     pick = lambda keep: [t for t, k in zip(texts, keep, strict=True) if k]
-    lexicon = learn_lexicon(pick(part), y[part])
-    automaton = build_automaton(lexicon)
-    counts = Reader(automaton).read(pick(~part))
-    weights = fit_logistic(_design(counts), y[~part].astype(float))
-    return Model(automaton, weights, lexicon)
+    counts = np.zeros((len(texts), len(NAMES)))
+    for half in (part, ~part):
+        other = build_automaton(learn_lexicon(pick(half), y[half]))
+        counts[~half] = Reader(other).read(pick(~half))
+    weights = fit_logistic(_design(counts), y.astype(float))
+    lexicon = learn_lexicon(texts, y)
+    return Model(build_automaton(lexicon), weights, lexicon)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
