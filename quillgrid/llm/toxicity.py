@@ -62,17 +62,18 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, *, limit: int = 400, supp
     least = max(4, math.ceil(support * toxic.sum()))
     bag = lambda d: set(_TOKEN.findall(texts[d].lower()))  # noqa: E731  one text's words at a time are held
     where: Counter = Counter()
-    heads: dict[tuple[str, bool], set[str]] = defaultdict(set)
     for d in np.flatnonzero(toxic):
         own = bag(d)
         where.update((w, False) for w in own if len(w) >= 4)
-        stems = {(w[:n], True): w for w in own for n in range(4, min(8, len(w)))}
-        where.update(stems.keys())
-        for t, w in stems.items():
-            if len(heads[t]) < 3:
-                heads[t].add(w)
-    where = Counter({t: n for t, n in where.items() if n >= least and (not t[1] or len(heads[t]) >= 3)})
-    heads.clear()
+        where.update({(w[:n], True) for w in own for n in range(4, min(8, len(w)))})
+    where = Counter({t: n for t, n in where.items() if n >= least})
+    heads: dict[tuple[str, bool], set[str]] = defaultdict(set)  # words that a stem begins, three at most
+    for d in np.flatnonzero(toxic):
+        for w in bag(d):
+            for n in range(4, min(8, len(w))):
+                if (t := (w[:n], True)) in where and len(heads[t]) < 3:
+                    heads[t].add(w)
+    where = Counter({t: n for t, n in where.items() if not t[1] or len(heads[t]) >= 3})
     clean: Counter = Counter()
     for d in np.flatnonzero(~toxic):
         own = bag(d)
