@@ -356,3 +356,12 @@ def test_archive_oracle(spark):
     want = con.execute(Q.oracle_sql()["op6_zstd_warc"]).fetchall()
     got = Q.op6_zstd_warc(spark, "/root/testdata/sf0.001").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert ordered(map(tuple, got.collect())) == ordered(want)
+
+
+def test_join_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(Q.oracle_sql()["op7_order_filters"]).fetchall()
+    assert ordered(map(tuple, Q.op7_order_filters(spark, "/root/testdata/sf0.001").collect())) == ordered(want)
