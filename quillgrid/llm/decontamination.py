@@ -4,9 +4,10 @@ Fixed masks over twelve words leave some positions out, so a substituted word at
 such a position does not change a window's hash.  The items' hashes of all masks
 are joined with those of every position of every text; each hit names a diagonal
 (text position minus item position), on which words are compared one by one.  The
-best-scoring stretch of a diagonal (one for an equal word, minus ``penalty`` for a
-substituted one, so at least penalty / (1 + penalty) of it agrees) is an overlap
-if it has ``least_words`` words, or all words of a shorter item.
+longest stretch of a diagonal of which at least penalty / (1 + penalty) agrees (its sum,
+one for an equal word and minus ``penalty`` for a substituted one, is not negative)
+and that begins and ends with an equal word, or is the whole item, is an overlap if it
+has ``least_words`` words, or all words of a shorter item.
 
 The items' hashes go to every task in blocks of ``block_words`` item words, one
 pass over the texts a block, so what is sent is bounded whatever the benchmark's size.
@@ -98,6 +99,8 @@ class Seeds:
             a, z = max(0, int(w.bounds[text]) - d), min(len(own), int(w.bounds[text + 1]) - d)
             equal = w.hashes[d + a : d + z] == own[a:z]
             lo, hi, matched = _stretch(equal, penalty)
+            if z - a == len(own) and equal.sum() >= penalty * (~equal).sum():  # the whole item, whatever its outer words
+                lo, hi, matched = 0, len(own), int(equal.sum())
             if hi - lo >= min(least, len(own)):
                 begin = d + a + lo - int(w.bounds[text])
                 got = (begin, begin + hi - lo, a + lo, a + hi, matched)
@@ -108,11 +111,16 @@ class Seeds:
 
 
 def _stretch(equal: np.ndarray, penalty: int) -> tuple[int, int, int]:
-    """The stretch with the largest sum: start, end, equal words."""
+    """The longest stretch of sum 0 or more, from an equal word to an equal word (the first of equally long ones): start, end, equal words."""
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -penalty))])
-    low = np.minimum.accumulate(sums)
-    end = int((sums - low).argmax())
-    start = int(sums[: end + 1].argmin())
+    starts, ends = np.flatnonzero(equal), np.flatnonzero(equal) + 1
+    if not len(starts):
+        return 0, 0, 0
+    # the first start whose sum is no higher than an end's: minima over the starts so far fall, so it is found by bisection
+    low = np.minimum.accumulate(sums[starts])
+    first = starts[np.searchsorted(-low, -sums[ends])]
+    best = int((ends - first).argmax())
+    start, end = int(first[best]), int(ends[best])
     return start, end, int(equal[start:end].sum())
 
 

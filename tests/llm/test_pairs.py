@@ -157,3 +157,27 @@ def test_overlaps(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 7, 9]
     assert decontamination.find_overlaps(frame(spark, []), bench).count() == 0
     assert decontamination.find_overlaps(docs, bench.limit(0)).count() == 0
+
+
+def test_overlaps_with_many_substitutions(spark):
+    """Longer tolerant overlaps beside short exact runs, and every length of item."""
+    rng = random.Random(8)
+    w = [prose(rng, n, 9000).split() for n in (16, 20, 13, 40)]
+    items = [(k, " ".join(x)) for k, x in enumerate(w)]
+    rows = []
+    for k, places in enumerate(((12,), (5, 10, 15), (0,), (13, 14, 15, 16, 17, 22))):
+        x = list(w[k])
+        for p in places:
+            x[p] = "other"
+        rows.append((k, prose(rng, 10) + " " + " ".join(x) + " " + prose(rng, 10)))
+    got = decontamination.find_overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["item_start"], r["item_end"], r["matched"]) for r in got) == [(0, 0, 0, 16, 15), (1, 1, 0, 20, 17), (2, 2, 0, 13, 12), (3, 3, 0, 40, 34)]
+
+
+def test_longest_stretch_follows_brute_force():
+    rng = random.Random(2)
+    for _ in range(500):
+        e = np.array([rng.random() < 0.75 for _ in range(rng.randrange(30))], bool)
+        sizes = [j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i] and e[j - 1] and e[i:j].sum() >= 4 * (~e[i:j]).sum()]
+        lo, hi, matched = decontamination._stretch(e, 4)
+        assert hi - lo == max(sizes, default=0) and matched == e[lo:hi].sum()
