@@ -14,7 +14,8 @@ pass over the texts a block, so what is sent is bounded whatever the benchmark's
 
 Defined results: a null or empty text or item overlaps nothing; an item of 3 to 11
 words is sought as a whole, a shorter one not at all (it would name no source);
-of equal overlaps of one text and item the first counts; items with one text are
+overlaps of one text and item that overlap in the text are one, whose matched words
+are those of the text that any of them matches; items with one text are
 all reported; repeated rows are reported as often; empty tables give no rows; other
 columns are not read.
 """
@@ -72,7 +73,7 @@ class Seeds:
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
 
     def overlaps(self, w: Words, least: int, penalty: int) -> Iterator[tuple]:
-        """(text, item, start, end, item start, item end, matched), words, the best of each text and item."""
+        """(text, item, start, end, item start, item end, matched), words, every stretch of each text and item."""
         where, item, diagonal = [], [], []
         for m, mask in enumerate(self.masks):
             h = _mask_hashes(w.hashes, mask, m)
@@ -93,21 +94,45 @@ class Seeds:
         if not where:
             return
         each = np.unique(np.stack([np.concatenate(where), np.concatenate(item), np.concatenate(diagonal)]), axis=1)
-        best: dict[tuple[int, int], tuple] = {}
+        found: dict[tuple[int, int], list[tuple]] = {}
         for text, k, d in each.T.tolist():
             own = self.items[k][1]
             a, z = max(0, int(w.bounds[text]) - d), min(len(own), int(w.bounds[text + 1]) - d)
             equal = w.hashes[d + a : d + z] == own[a:z]
-            lo, hi, matched = _stretch(equal, penalty)
-            if z - a == len(own) and equal.sum() >= penalty * (~equal).sum():  # the whole item, whatever its outer words
-                lo, hi, matched = 0, len(own), int(equal.sum())
-            if hi - lo >= min(least, len(own)):
-                begin = d + a + lo - int(w.bounds[text])
-                got = (begin, begin + hi - lo, a + lo, a + hi, matched)
-                if (text, k) not in best or got[4] > best[text, k][4]:
-                    best[text, k] = got
-        for (text, k), got in best.items():
-            yield text, k, *got
+            begin = d + a - int(w.bounds[text])
+            for lo, hi in _stretches(equal, penalty, min(least, len(own)), z - a == len(own)):
+                found.setdefault((text, k), []).append((begin + lo, begin + hi, a + lo, a + hi, begin + lo + np.flatnonzero(equal[lo:hi])))
+        for (text, k), spans in found.items():
+            for start, end, first, last, places in _merged(spans):
+                yield text, k, start, end, first, last, len(places)
+
+
+def _merged(spans: list[tuple]) -> Iterator[tuple]:
+    """Spans (start, end, item start, item end, equal places) of one text and item, united where they overlap in the text."""
+    now: tuple | None = None
+    for s in sorted(spans, key=lambda s: s[:4]):
+        if now is not None and s[0] < now[1]:
+            now = (now[0], max(now[1], s[1]), min(now[2], s[2]), max(now[3], s[3]), np.union1d(now[4], s[4]))
+            continue
+        if now is not None:
+            yield now
+        now = s
+    if now is not None:
+        yield now
+
+
+def _stretches(equal: np.ndarray, penalty: int, least: int, whole: bool) -> Iterator[tuple[int, int]]:
+    """Every stretch of ``least`` words or more: the longest, and those of what lies before and after it."""
+    if whole and equal.sum() >= penalty * (~equal).sum():  # the whole item, whatever its outer words
+        yield 0, len(equal)
+        return
+    parts = [(0, len(equal))]
+    while parts:
+        a, z = parts.pop()
+        lo, hi, _ = _stretch(equal[a:z], penalty) if z - a >= least else (0, 0, 0)
+        if hi - lo >= max(least, 1):
+            yield a + lo, a + hi
+            parts += [(a, a + lo), (a + hi, z)]
 
 
 def _stretch(equal: np.ndarray, penalty: int) -> tuple[int, int, int]:

@@ -181,3 +181,14 @@ def test_longest_stretch_follows_brute_force():
         sizes = [j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i] and e[j - 1] and e[i:j].sum() >= 4 * (~e[i:j]).sum()]
         lo, hi, matched = decontamination._stretch(e, 4)
         assert hi - lo == max(sizes, default=0) and matched == e[lo:hi].sum()
+
+
+def test_every_overlap_of_an_item(spark):
+    """An item held twice, and two separate fragments of one."""
+    rng = random.Random(6)
+    w, v = prose(rng, 40, 9000), prose(rng, 60, 9000)
+    f = v.split()
+    rows = [(1, " ".join([w, prose(rng, 10), w])), (2, " ".join([*f[:15], prose(rng, 30), *f[40:]])), (3, " ".join([*f[:20], *["other"] * 20, *f[40:]]))]
+    got = decontamination.find_overlaps(frame(spark, rows), spark.createDataFrame([(1, w), (2, v)], "item_id long, text string")).collect()
+    spans = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["item_start"], r["item_end"], r["matched"]) for r in got)
+    assert spans == [(1, 1, 0, 40, 0, 40, 40), (1, 1, 50, 90, 0, 40, 40), (2, 2, 0, 15, 0, 15, 15), (2, 2, 45, 65, 40, 60, 20), (3, 2, 0, 20, 0, 20, 20), (3, 2, 40, 60, 40, 60, 20)]
