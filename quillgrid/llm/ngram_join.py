@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, bound_batches, mix, shingle_set, stage, text_chunks, unstage, window_hashes
+from .shared import Words, bounded_batches, mix, shingle_set, stage, text_chunks, unstage, window_hashes
 
 ORDERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 
@@ -397,8 +397,11 @@ def _across(members: list, limit: Threshold, same: bool) -> tuple[list[int], lis
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: Threshold | None = None, small: int = 24, hot: int = 1 << 17, block: int = 2048) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the size of its set and its class."""
     limit = limit or Threshold()
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    with bounded_batches(docs.sparkSession):
+        return _classes(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), key, limit, small, hot, block)
+
+
+def _classes(docs: DataFrame, key: str, limit: Threshold, small: int, hot: int, block: int) -> DataFrame:
     measured = measure(docs, limit)
     rows = measured.filter("n is not null").select("id", "sig", "n")
     often = frequent(measured, hot)

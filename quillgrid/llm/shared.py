@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +25,36 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors can reach: ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where the session names none (tests).
+    A local temporary folder is used only where the session names none and runs in
+    one process (tests); on a cluster the setting is needed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quillgrid-"))
     return "file://" + _own_dir[0]
 
 
-def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
-    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, where the session allows more: texts are long, and
-    a batch is held by the JVM and by Python."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(name).lower().rstrip("b")
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> Iterator[None]:
+    """Inside: Arrow batches of at most ``rows`` rows and about ``size`` bytes, where the session allows more (texts are
+    long, and a batch is held by the JVM and by Python); the session's settings are put back at the end.  What is to run
+    so must be written inside."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, most in names.items():
+        now = before[n].lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(name, str(most))
+            spark.conf.set(n, str(most))
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -167,6 +181,17 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """As ``window_hashes``, by running sums: the cost does not grow with ``k``."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers_to(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
+
+
 def shingle_set(word: np.ndarray, windows: np.ndarray, a: int, b: int, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of the words a to b; fewer than k: one shingle."""
     if b - a >= k:

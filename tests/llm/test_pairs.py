@@ -103,26 +103,134 @@ def test_fuzzy_passage(spark):
     assert r["start"] <= 25 and r["end"] >= 115 and r["equal_words"] >= 88
 
 
+def spans(rows, i):
+    return sorted((r["start"], r["end"]) for r in rows if r["doc_id"] == i)
+
+
+def test_later_passages_of_a_pair(spark):
+    """A long passage does not hide a shorter one far behind it."""
+    rng = random.Random(11)
+    p, q = prose(rng, 500, 9000), prose(rng, 120, 9000)
+    rows = [(k, " ".join([p, prose(rng, 300, 9000), q])) for k in (1, 2)]
+    assert spans(substrings.repeats(frame(spark, rows)).collect(), 2) == [(0, 500), (800, 920)]
+
+
+def test_passage_in_pieces_elsewhere(spark):
+    """Other texts hold pieces of a passage that are too short; the two that share it all are still found."""
+    rng = random.Random(12)
+    p = prose(rng, 120, 9000).split()
+    whole = [(i, " ".join([prose(rng, 30, 9000), *p, prose(rng, 30, 9000)])) for i in (50, 170)]
+    for first in (1, 60):
+        pieces = [(first + k, " ".join([prose(rng, 30, 9000), *p[8 * k : 8 * k + 38], prose(rng, 30, 9000)])) for k in range(10)]
+        assert spans(substrings.repeats(frame(spark, whole + pieces)).collect(), 170) == [(30, 150)]
+
+
+def test_passages_twice_and_runs_of_one_word(spark):
+    rng = random.Random(13)
+    p = prose(rng, 60, 9000)
+    rows = [
+        (1, " ".join([prose(rng, 10, 9000), p, prose(rng, 10, 9000)])),
+        (2, " ".join([prose(rng, 100, 9000), p, prose(rng, 100, 9000), p])),
+        (3, " ".join([prose(rng, 5, 9000), *["junk"] * 60, prose(rng, 5, 9000)])),
+        (4, " ".join([*["junk"] * 50, prose(rng, 50, 9000), *["junk"] * 700, prose(rng, 5, 9000)])),
+        (5, " ".join(["ab cd ef"] * 50)),
+        (6, " ".join([prose(rng, 5, 9000), *["cd ef ab"] * 90, prose(rng, 5, 9000)])),
+    ]
+    got = substrings.repeats(frame(spark, rows)).collect()
+    assert spans(got, 2) == [(100, 160), (260, 320)] and spans(got, 3) == []
+    assert spans(got, 4) == [(0, 50), (100, 800)]
+    (run,) = spans(got, 6)
+    assert run[0] in (5, 6, 7) and run[1] == 275
+
+
+def overlaps(a, b, least=40, identity=0.8):
+    """Whether two word lists share a passage without insertions, by every diagonal."""
+    places: dict = {}
+    for y, w in enumerate(b):
+        places.setdefault(w, []).append(y)
+    seen: dict = {}
+    for x, w in enumerate(a):
+        for y in places.get(w, ()):
+            seen[x - y] = seen.get(x - y, 0) + 1
+    for d, n in seen.items():
+        if n < identity * least:
+            continue
+        lo, hi = max(0, d), min(len(a), len(b) + d)
+        sums = np.concatenate([[0], np.cumsum([1 - identity if a[x] == b[x - d] else -identity for x in range(lo, hi)])])
+        if any(sums[e] - sums[s] > -1e-9 for s in range(len(sums)) for e in range(s + least, len(sums))):
+            return True
+    return False
+
+
+def test_recall_of_changed_passages(spark):
+    """All pairs of 200 texts by every diagonal, passages of 40 to 100 words with 5 to 20 % of their words changed."""
+    rng = random.Random(14)
+    bodies = [prose(rng, rng.randrange(40, 101), 3000).split() for _ in range(60)]
+    rows = []
+    for k in range(200):
+        w = list(bodies[rng.randrange(60)])
+        for x in rng.sample(range(1, len(w) - 1), round(len(w) * rng.choice((0, 0.05, 0.1)))):
+            w[x] = f"c{rng.randrange(10**6)}"
+        rows.append((k, " ".join([prose(rng, rng.randrange(30), 3000), *w, prose(rng, rng.randrange(30), 3000)])))
+    text = [words(t) for _, t in rows]
+    want = {a for a in range(200) if any(overlaps(text[a], text[b]) for b in range(a))}
+    got = substrings.repeats(frame(spark, rows)).collect()
+    assert len(want) > 100 and len(want & {r["doc_id"] for r in got}) >= 0.98 * len(want)
+    # pairs of one body and two texts: no other reference helps
+    rows, kinds = [], []
+    for k in range(300):
+        body, share = prose(rng, 40 + k % 61, 3000).split(), (0.05, 0.1, 0.15, 0.2)[k % 4]
+        changed = list(body)
+        for x in rng.sample(range(1, len(body) - 1), int(len(body) * share)):
+            changed[x] = f"c{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join([prose(rng, 20, 3000), *body, prose(rng, 20, 3000)])), (2 * k + 1, " ".join([prose(rng, 30, 3000), *changed, prose(rng, 10, 3000)]))]
+        kinds.append(share)
+    found = {r["doc_id"]: r["end"] - r["start"] for r in substrings.repeats(frame(spark, rows)).collect()}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        mine = [2 * k + 1 for k in range(300) if kinds[k] == share]
+        assert sum(i in found for i in mine) >= (0.9 if share == 0.2 else 0.98) * len(mine), share
+
+
+def test_hot_passage_in_buffers(spark):
+    """One passage in every text, many buffers and buckets: every text but the first is reported."""
+    rng = random.Random(15)
+    p = prose(rng, 60, 9000)
+    rows = [(k, " ".join([prose(rng, 15, 9000), p, prose(rng, 15, 9000)])) for k in range(300)]
+    got = substrings.repeats(frame(spark, rows).repartition(7), options=substrings.Options(buffer_bytes=4000, bucket_bytes=2000)).collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 300))
+    # a word or two beside it may be equal by chance
+    assert all(10 <= r["start"] <= 15 and 75 <= r["end"] <= 80 for r in got)
+    assert max(sum(r["ref_doc_id"] == k for r in got) for k in range(300)) < 200
+
+
 def test_chains_follow_brute_force():
-    """The best chain's score equals that of a quadratic program."""
+    """The best chain's score is that of a quadratic program, and every fragment is in one chain."""
     rng = np.random.default_rng(5)
     o = substrings.Options()
-    for _ in range(60):
-        p = np.unique(rng.integers(0, 60, (rng.integers(2, 25), 2)), axis=0)
-        best = [float(o.k)] * len(p)
-        for i in range(len(p)):
-            for j in range(len(p)):
-                if p[j, 0] < p[i, 0] and p[j, 1] < p[i, 1]:
-                    dx, dy = p[i] - p[j]
-                    best[i] = max(best[i], best[j] + min(o.k, dx, dy) - o.skip_cost * (dx + dy) / 2 - o.gap_cost * abs(dx - dy))
-        chain = substrings.chains(p, o)[0]
-        got = float(o.k)
-        for a, b in zip(chain, chain[1:], strict=False):
-            dx, dy = p[b] - p[a]
-            assert dx > 0 and dy > 0
-            got += min(o.k, dx, dy) - o.skip_cost * (dx + dy) / 2 - o.gap_cost * abs(dx - dy)
-        # anchors closer than k words are scored as k apart while the predecessor is sought, so the best may be missed by their overlap
-        assert got >= max(best) - o.k
+
+    def link(a, b):
+        """What b adds after a, or None."""
+        cut = min(o.k - 1, a[2] - 1)
+        dx, dy = b[0] - (a[0] + a[2] - cut), b[1] - (a[1] + a[2] - cut)
+        return None if dx < 0 or dy < 0 else b[2] - o.skip_cost * (dx + dy) / 2 - o.gap_cost * abs(dx - dy)
+
+    for turn in range(150):
+        n, size = int(rng.integers(1, 50)), (60, 300, 5000)[turn % 3]
+        p = np.unique(np.stack([rng.integers(0, size, n), rng.integers(0, size, n), rng.integers(5, 40, n)], 1), axis=0)
+        best = [float(f[2]) for f in p]
+        for i in np.lexsort((p[:, 1], p[:, 0])):
+            best[i] = max([best[i], *(best[j] + s for j in range(len(p)) if (s := link(p[j], p[i])) is not None)])
+        made = substrings.chains(p, o)
+        assert sorted(k for c in made for k in c) == list(range(len(p)))
+        got = float(p[made[0][0], 2]) + sum(link(p[a], p[b]) for a, b in zip(made[0], made[0][1:], strict=False))
+        assert abs(got - max(best)) < 1e-6
+
+
+def test_repeated_ids_and_nulls_of_passages(spark):
+    rng = random.Random(16)
+    p, q = prose(rng, 60, 9000), prose(rng, 60, 9000)
+    rows = [(1, p), (2, p), (2, q), (2, p), (3, q), (None, p), (4, None), (5, "")]
+    assert sorted((r["doc_id"], r["ref_doc_id"], r["start"], r["end"]) for r in substrings.repeats(frame(spark, rows)).collect()) == [(2, 1, 0, 60), (3, 2, 0, 60)]
 
 
 def test_overlaps(spark):
