@@ -8,20 +8,23 @@ l: the smaller of the two sets' demands).  Three orders are used:
     of up to ``small`` sets give their pairs, and a pair must meet in l lists.
     Longer lists give only links to a hub (their smallest set), and the set of
     members by hub, a family, is settled later.
-2.  and 3. two fixed permutations.  A pair whose prefixes under either have nothing
-    in common is dropped before its overlap is counted.
+2.  and 3. two fixed permutations.  Every candidate of the first order, from short
+    lists, hubs and families alike, must have a token in common under both: the
+    candidates are joined with these prefixes alone, and only what is left of them
+    is joined with whole sets.
 
 Which shingles count as frequent comes from all texts, but changes only the order
 and never the result: each task counts its own, and the ``hot`` most frequent sums
 are sent to all tasks.
 
-Equal sets are one member of the join.  Links found so far make components; a
-family with more than one component is then settled by counting overlaps between
-members of different components, in blocks of ``block`` members, so that no group
-is expanded into pairs of rows and none is held whole by a task.
+Equal sets are one member of the join.  Links found so far make components.  In a
+family with more than one component, the members outside its largest one (the
+outliers) are then set against all members, in blocks of ``block``: a link between two
+components always has an outlier.  No group is expanded into pairs of rows and none
+is held whole by a task.
 
-Overlaps are counted on 32 bits of each shingle's hash: a link is never lost, and
-the chance of a false one is under one in a million for each pair that is checked.
+Overlaps are counted on 32 bits of each shingle's hash, which never loses a link; a
+link that would not hold with ``doubt`` common shingles less is counted again on all 64 bits.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; fewer words than ``k`` make one shingle; repeated rows and equal
@@ -39,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import Words, bounded_batches, mix, shingle_set, stage, text_chunks, unstage, window_hashes
@@ -172,21 +176,25 @@ def postings(docs: DataFrame, limit: Threshold, frequent: np.ndarray, *, hot: bo
     return docs.select("text").mapInArrow(run, "token long, sig long, n int")
 
 
-def short_sets(docs: DataFrame, limit: Threshold) -> DataFrame:
-    """(id, sig, set): 32 bits of each shingle's hash, in order, as bytes."""
+def set_parts(docs: DataFrame, limit: Threshold) -> DataFrame:
+    """(id, sig, set, rest, second, third) as bytes: the upper and the lower 32 bits of each shingle's hash, in order,
+    and the prefixes under the second and third order."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                sig, made = [], []
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sig: list = []
+                made: list[list[bytes]] = [[], [], [], []]
                 for _, s in _sets(b.column(1), limit.k):
                     sig.append(_signature(s) if len(s) else None)
-                    made.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), pa.array(made, pa.binary())], names=["id", "sig", "set"])
+                    high = (s >> np.uint64(32)).astype(np.uint32)
+                    for column, x in zip(made, (high, s.astype(np.uint32), *(_prefix(high, o, limit) if len(s) else high for o in ORDERS)), strict=True):
+                        column.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), *(pa.array(c, pa.binary()) for c in made)], names=["id", "sig", "set", "rest", "second", "third"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, sig long, set binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, sig long, set binary, rest binary, second binary, third binary")
 
 
 # ---------------------------------------------------------------- candidates
@@ -286,74 +294,117 @@ def candidates(docs: DataFrame, limit: Threshold, often: np.ndarray, small: int)
 
 
 def _prefix(s: np.ndarray, order: np.uint32, limit: Threshold) -> np.ndarray:
+    """Sorted keys of a set's prefix under an order."""
     key = s * order
     size = min(len(s), int(limit.prefix(len(s))) + 2)  # two more, for equal bits of two shingles
-    return np.partition(key, size - 1)[:size]
+    return np.sort(np.partition(key, size - 1)[:size])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) that are linked; ``sets``: (sig, set)."""
-    left = sets.select(F.col("sig").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("sig").alias("b"), F.col("set").alias("set_b"))
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both sides' sets, a's first."""
+    left = sets.select(F.col("sig").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = sets.select(F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.join(right, "b").join(left, "a").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
+
+
+def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that have a token in common under the second and under the third order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
         for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                a = batch.column(0)[k].as_py()
-                if last is None or last[0] != a:
-                    s = np.frombuffer(batch.column(2)[k].as_py(), np.uint32)
-                    last = (a, s, [np.sort(_prefix(s, o, limit)) for o in ORDERS])
-                s, t = last[1], np.frombuffer(batch.column(3)[k].as_py(), np.uint32)
-                if all(_is_in(_prefix(t, o, limit), p).any() for o, p in zip(ORDERS, last[2], strict=True)):
-                    common = int(_is_in(t, s).sum())
-                    if limit.linked(common, len(s), len(t)):
-                        keep.append(k)
+                a2, a3, b2, b3 = (np.frombuffer(batch.column(c)[k].as_py(), np.uint32) for c in range(2, 6))
+                if _is_in(b2, a2).any() and _is_in(b3, a3).any():
+                    keep.append(k)
             yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return met.mapInArrow(run, "a long, b long")
+    return _sides(pairs, sets, "second", "third").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold, doubt: int = 3) -> DataFrame:
+    """(a, b, sure) of the pairs that are linked by 32 bits of their shingles; not sure: counted again by ``confirm``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sure = [], []
+            for k in range(batch.num_rows):
+                s, t = (np.frombuffer(batch.column(c)[k].as_py(), np.uint32) for c in (2, 3))
+                common = int(_is_in(t, s).sum())
+                if limit.linked(common, len(s), len(t)):
+                    keep.append(k)
+                    sure.append(bool(limit.linked(common - doubt, len(s), len(t))))
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    return _sides(_filtered(pairs, sets), sets, "set").mapInArrow(run, "a long, b long, sure boolean")
 
 
-def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Threshold, block: int) -> DataFrame:
-    """Links (a, b) between members of one family that are in different components so far."""
+def confirm(found: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The links (a, b) of ``found``, those that are not sure by all 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                high_a, low_a, high_b, low_b = (np.frombuffer(batch.column(c)[k].as_py(), np.uint32).astype(np.uint64) for c in range(2, 6))
+                s, t = high_a << np.uint64(32) | low_a, high_b << np.uint64(32) | low_b
+                if limit.linked(int(_is_in(t, s).sum()), len(s), len(t)):
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+
+    again = _sides(found.filter("not sure").select("a", "b"), sets, "set", "rest").mapInArrow(run, "a long, b long")
+    return found.filter("sure").select("a", "b").unionAll(again)
+
+
+def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Threshold, block: int, doubt: int = 3) -> DataFrame:
+    """Links (a, b, sure) between members of one family that are in different components so far.
+
+    The outliers of a family, its members outside the largest component, are dealt in blocks, and so are all
+    members; a block of outliers meets each block of members in a task, which drops members without a token in
+    common with any of the outliers under the second and third order.  What travels is members times blocks of outliers.
+    """
     rooted = families.select("hub", "sig").join(roots, families["sig"] == roots["node"], "left").select("hub", "sig", F.coalesce("root", "sig").alias("root"))
-    torn = rooted.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
-    torn = torn.select(F.struct(F.col("hub").alias("k")).alias("key"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    open_members = rooted.withColumn("key", F.struct(F.col("hub").alias("k"))).join(torn, "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    # a block meets itself and every other one
-    dealt = open_members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", "sig", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
+    sizes = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
+    torn = sizes.groupBy("hub").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("members"), F.max("n").alias("most")).filter("members > most")
+    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
+    torn = torn.withColumn("others", F.col("members") - F.col("most")).select(F.struct(F.col("hub").alias("k")).alias("key"), "largest", cut("members").alias("blocks"), cut("others").alias("outer"))
+    open_members = rooted.withColumn("key", F.struct(F.col("hub").alias("k"))).join(torn, "key").withColumns(
+        {"own": F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"), "out": F.when(F.col("root") != F.col("largest"), F.pmod(F.xxhash64("sig", F.lit(1)), F.col("outer")).cast("int"))}
+    )
+    asked = open_members.filter("out is not null").select("hub", "sig", "root", "out", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("asks"))
+    told = open_members.select("hub", "sig", "root", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("out"), "own", F.lit(False).alias("asks"))
     parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    loaded = dealt.join(sets, "sig").select("hub", "i", "j", "sig", "root", "first", "set").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "sig")
+    dealt = asked.unionByName(told).join(sets.select("sig", "set"), "sig")
+    loaded = dealt.select("hub", "out", "own", "sig", "root", "asks", "set").repartition(parts, "hub", "out", "own").sortWithinPartitions("hub", "out", "own", F.desc("asks"), "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def links() -> pa.RecordBatch:
-            a, b = _across(held, limit, group[1] == group[2])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b, sure = _across(held, limit, doubt)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
 
         for batch in batches:
-            for hub, i, j, sig, root, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (hub, i, j) != group:
+            for hub, out, own, sig, root, asks, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (hub, out, own) != group:
                     if held:
                         yield links()
-                    group, held = (hub, i, j), []
-                held.append((sig, root, first, np.frombuffer(data, np.uint32)))
+                    group, held = (hub, out, own), []
+                held.append((sig, root, asks, np.frombuffer(data, np.uint32)))
         if held:
             yield links()
 
-    return loaded.mapInArrow(run, "a long, b long")
+    return loaded.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _across(members: list, limit: Threshold, same: bool) -> tuple[list[int], list[int]]:
-    """Links that join components, found with an index from shingles to members."""
-    roots = {m[1] for m in members}
-    if len(roots) < 2:
-        return [], []
-    up = {r: r for r in roots}
+def _across(members: list, limit: Threshold, doubt: int) -> tuple[list[int], list[int], list[bool]]:
+    """Links of the outliers (those that ask, first in the list) with members of other components, found with an index from
+    shingles to outliers.  A member is looked up only if it has a token in common with an outlier under both orders."""
+    outer = [m for m in members if m[2]]
+    if not outer:
+        return [], [], []
+    up = {m[1]: m[1] for m in members}
 
     def top(r: int) -> int:
         while up[r] != r:
@@ -361,47 +412,72 @@ def _across(members: list, limit: Threshold, same: bool) -> tuple[list[int], lis
             r = up[r]
         return r
 
-    sizes = np.array([len(m[3]) for m in members])
-    token = np.concatenate([m[3] for m in members])
-    owner = np.repeat(np.arange(len(members)), sizes)
+    sizes = np.array([len(m[3]) for m in outer])
+    token, owner = np.concatenate([m[3] for m in outer]), np.repeat(np.arange(len(outer)), sizes)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    many: dict[int, int] = {}
-    for m in members:
-        many[m[1]] = many.get(m[1], 0) + 1
-    largest = max(many, key=lambda r: (many[r], -r))
-    a, b = [], []
-    side = np.array([m[2] for m in members])
-    for k, (sig, root, first, s) in enumerate(members):
-        if root == largest:  # every pair across components has a side outside the largest
+    prefixes = [np.unique(np.concatenate([_prefix(m[3], o, limit) for m in outer])) for o in ORDERS]
+    a, b, sure = [], [], []
+    for sig, root, _, s in members[len(outer) :]:
+        if not all(_is_in(_prefix(s, o, limit), p).any() for o, p in zip(ORDERS, prefixes, strict=True)):
             continue
         lo, hi = np.searchsorted(token, s), np.searchsorted(token, s, "right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(members))
-        ok = limit.linked(common, sizes, len(s)) & limit.sizes_fit(sizes, len(s))
-        if not same:
-            ok &= side != first
-        for j in np.flatnonzero(ok):
-            r, q = top(root), top(members[j][1])
+        common = np.bincount(owner[at], minlength=len(outer))
+        for j in np.flatnonzero(limit.linked(common, sizes, len(s)) & limit.sizes_fit(sizes, len(s))):
+            r, q = top(root), top(outer[j][1])
             if r != q:
-                up[r] = q
+                certain = bool(limit.linked(int(common[j]) - doubt, int(sizes[j]), len(s)))
+                if certain:  # a doubtful link must not keep a sure one out
+                    up[r] = q
                 a.append(sig)
-                b.append(members[j][0])
-    return a, b
+                b.append(outer[j][0])
+                sure.append(certain)
+    return a, b, sure
 
 
 # ---------------------------------------------------------------- the join
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: Threshold | None = None, small: int = 24, hot: int = 1 << 17, block: int = 2048) -> DataFrame:
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: Threshold | None = None, small: int = 24, hot: int = 1 << 17, block: int = 512) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the size of its set and its class."""
-    limit = limit or Threshold()
     with bounded_batches(docs.sparkSession):
-        return _classes(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), key, limit, small, hot, block)
+        found = _classes(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), limit or Threshold(), small, hot, block)
+        return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
+
 
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: Threshold | None = None, small: int = 24, hot: int = 1 << 17, block: int = 512) -> DataFrame:
+    """One row of each class, all columns: of the rows with its smallest id, one whose set is in the class.
 
-def _classes(docs: DataFrame, key: str, limit: Threshold, small: int, hot: int, block: int) -> DataFrame:
+    Rows with one id whose sets are of different classes are told apart; of those with one id and one set any one
+    stays.  A row with a null id stays, and so does one without words for each id.
+    """
+    limit = limit or Threshold()
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    id_at, text_at = docs.columns.index(key), docs.columns.index(text)
+    with bounded_batches(docs.sparkSession):
+        found = _classes(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), limit, small, hot, block)
+        kept = found.filter("id is not null and (sig is null or id = class)").select(F.col("id").alias("k_id"), F.coalesce("sig", F.lit(0)).alias("k_sig")).distinct()
+
+        def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sig = np.zeros(b.num_rows, np.int64)
+                for i, s in _sets(b.column(text_at), limit.k):
+                    sig[i] = _signature(s) if len(s) else 0
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig)], names=[*names, "sig"])
+
+        shape = T.StructType([*plain.schema.fields, T.StructField("sig", T.LongType())])
+        rows = plain.mapInArrow(signed, shape)
+        here = F.col(names[id_at])
+        one = rows.join(kept, (here == F.col("k_id")) & (F.col("sig") == F.col("k_sig")), "left_semi").dropDuplicates([names[id_at], "sig"]).select(*names)
+        out = one.unionByName(plain.filter(here.isNull())).toDF(*docs.columns)
+        return stage(out, "one-of-each")
+
+
+def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int) -> DataFrame:
+    """(id, sig, n, class) of every row of ``docs`` (id, text)."""
     measured = measure(docs, limit)
     rows = measured.filter("n is not null").select("id", "sig", "n")
     often = frequent(measured, hot)
@@ -410,16 +486,15 @@ def _classes(docs: DataFrame, key: str, limit: Threshold, small: int, hot: int,
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(families.select("sig")).distinct()
     of_wanted = wanted.join(names, "sig")
     # one row a set, even if a row is repeated; the rows of an id are in one partition already
-    sets = short_sets(docs, limit).join(of_wanted, ["id", "sig"]).dropDuplicates(["id", "sig"]).select("sig", "set")
-    sets = stage(sets, "short-sets")
-    links = stage(verify(pairs, sets, limit), "links")
+    sets = set_parts(docs, limit).join(of_wanted, ["id", "sig"]).dropDuplicates(["id", "sig"]).drop("id")
+    sets = stage(sets, "set-parts")
+    links = stage(confirm(stage(verify(pairs, sets, limit), "found"), sets, limit), "links")
     roots = stage(components(links, "a", "b"), "roots")
-    more = stage(settle(families, roots, sets, limit, block), "links")
+    more = stage(confirm(stage(settle(families, roots, sets, limit, block), "found"), sets, limit), "links")
     if not more.isEmpty():
         roots = stage(components(links.unionAll(more), "a", "b"), "roots")
     unstage(sets)
     class_of = names.join(roots, names["sig"] == roots["node"], "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
     least = class_of.groupBy("root").agg(F.min("id").alias("class"))
     by_sig = class_of.join(least, "root").select(F.struct(F.col("sig").alias("k")).alias("key"), "class")
-    out = rows.withColumn("key", F.struct(F.col("sig").alias("k"))).join(by_sig, "key", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
+    return rows.withColumn("key", F.struct(F.col("sig").alias("k"))).join(by_sig, "key", "left").select("id", "sig", "n", "class")

@@ -300,3 +300,27 @@ def test_every_overlap_of_an_item(spark):
     got = decontamination.find_overlaps(frame(spark, rows), spark.createDataFrame([(1, w), (2, v)], "item_id long, text string")).collect()
     spans = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["item_start"], r["item_end"], r["matched"]) for r in got)
     assert spans == [(1, 1, 0, 40, 0, 40, 40), (1, 1, 50, 90, 0, 40, 40), (2, 2, 0, 15, 0, 15, 15), (2, 2, 45, 65, 40, 60, 20), (3, 2, 0, 20, 0, 20, 20), (3, 2, 40, 60, 40, 60, 20)]
+
+
+def test_one_row_of_each_class(spark):
+    rows = documents() + [(7, "another text of the same id as an earlier row"), (8, "")]
+    docs = clashing(frame(spark, rows))
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    of = {}
+    for (i, _, c), (_, t) in zip(sorted(((i, n, c) for i, n, c in brute_classes(rows)), key=str), sorted(rows, key=str), strict=False):
+        of[i] = c
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    sets = {}
+    for k, (i, t) in enumerate(rows):
+        sets.setdefault(shingles(t), []).append(i)
+    # each class has one row; every set is linked with a kept one or was kept
+    assert all(i is None or not t or not words(t) or of[i] == i or i in (7, 8) for i, t in kept)
+    assert sorted(map(str, (i for i, _ in kept if i is None))) == ["None", "None"]
+    assert len([1 for i, t in kept if i == 7]) == 2 and len([1 for i, t in kept if i == 8]) == 2
+    named = [(i, shingles(t)) for i, t in kept if i is not None]
+    assert len(named) == len(set(named))
+    for i, t in rows:
+        if i is not None and shingles(t):
+            assert any(s and 100 * len(s & shingles(t)) >= 80 * len(s | shingles(t)) for _, s in named) or of[i] != i
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
