@@ -3,6 +3,11 @@
 Each stage works on all rows that the one before it kept, as Parquet that was
 written and read again.  All stages but the last return the columns of ``documents``:
 the first three keep or drop whole rows, the fourth rewrites texts.
+
+Defined results, for every stage: a null text counts as empty, is never toxic,
+contaminated or a copy, and stays null; rows with a null id are kept by the second
+stage; repeated rows are one class and one of them stays; an empty table gives an
+empty one; other columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,21 +18,23 @@ from pyspark.sql import functions as F
 from quillgrid.llm import decontamination, ngram_join, packing, pii, toxicity
 from quillgrid.llm.shared import stage
 
-#: Trained classifiers and tolerant matches are not expressible in SQL; tests/llm holds the brute-force version.
+#: Trained classifiers and tolerant matches are not expressible in SQL; tests/llm/test_pipeline.py holds each stage
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("toxic = 0").select(docs.columns)
+    # under names of their own, as the documents may have a column toxic
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    scored = toxicity.score(docs.toDF(*names), model, text=names[docs.columns.index("text")])
+    return scored.filter("toxic = 0").select(*names).toDF(*docs.columns)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id, once; rows without an id stay."""
-    kept = ngram_join.classes(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """Of each class of linked documents one row, with the smallest id; rows without an id stay."""
+    return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +43,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data replaced by its kind in brackets."""
+    """Every document, with personal data replaced by its kind in brackets; n_chars, where there is one, is counted again."""
     clean = pii.redact(docs, pii.fit(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
