@@ -2,17 +2,19 @@
 
 Runs of identifier characters are scored by the log-likelihood ratio of two
 first-order Markov models.  The labelled samples are the corpus' own: runs that
-touch a match of the fixed formats below are random, all others ordinary.  Both
-passes, the counting of character pairs and the scoring, are DataFrame expressions;
-the driver sees only the table of pairs (67 x 67 at most for each class).
+touch a match of the fixed formats below are random, all others ordinary.  The
+counting of runs and character pairs is one aggregate over all texts, the scoring a
+second pass, both DataFrame expressions; the driver sees only the table of pairs
+(67 x 67 at most for each class).
 
 Offsets come from ``split`` and ``regexp_extract_all`` by the same pattern: the
-gaps and the matches alternate, so running sums of their lengths are positions.
+gaps and the matches alternate, so running sums of their lengths are positions.  The
+sums are taken by chunks of ``CHUNK`` matches, so their cost grows with the matches.
 
 Defined results: a null text counts as empty; a text without matches has empty
 lists; with no random or no ordinary run in the corpus the models add nothing;
 repeated rows are scanned alike; an empty table gives no rows; other columns pass
-through, and one named like an output column is replaced by it.
+through, whatever their names, but for one named like the output column, which is replaced.
 """
 
 from __future__ import annotations
@@ -30,49 +32,67 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "markov")
 
+#: Matches whose places are summed up at once.
+CHUNK = 128
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _located(text: Column, pattern: str, group: int = 0) -> Column:
     """array of (start, end, value) of the pattern's leftmost non-overlapping matches; offsets in code points."""
     p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        whole.alias("hit"),
-        (F.regexp_extract_all(text, p, F.lit(group)) if group else whole).alias("value"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("made"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(
-                end.cast("long").alias("at"),
-                F.concat(acc["made"], F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value")))).alias("made"),
-            )
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def located(whole: Column) -> Column:
+        # the last gap has no match beside it: no position after it is asked for
+        parts = F.arrays_zip(
+            F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"),
+            whole.alias("hit"),
+            (F.regexp_extract_all(text, p, F.lit(group)) if group else whole).alias("value"),
         )
+        return _let(parts, lambda x: _let(F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(x) - 1, F.lit(CHUNK)).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))), placed))
+
+    def placed(chunks: Column) -> Column:
+        long = lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long")
+        empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("made"))
+        starts = F.aggregate(
+            F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + long(x))),
+            empty,
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["made"], F.array(acc["at"])).alias("made")),
+            lambda acc: acc["made"],
+        )
+
+        def spans(chunk: Column, start: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                begin = acc["at"] + F.length(x["gap"])
+                end = begin + F.length(x["hit"])
+                return F.struct(end.cast("long").alias("at"), F.concat(acc["made"], F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value")))).alias("made"))
+
+            return F.aggregate(chunk, F.struct(start.alias("at"), none.alias("made")), step, lambda acc: acc["made"])
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["made"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        return F.flatten(F.zip_with(chunks, starts, spans))
 
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, p, F.lit(0)), located)).otherwise(none)
 
-def base_spans(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with the columns assign, access, hex and run: arrays of (start, end, value)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns(
-        {
-            "assign": F.filter(_located(body, ASSIGN, 2), lambda m: F.length(m["value"]) >= 6),
-            "access": _located(body, ACCESS),
-            "hex": _located(body, HEX),
-            "run": _located(body, RUN),
-        }
+
+def base_spans(text: Column) -> Column:
+    """struct of assign, access, hex and run: arrays of (start, end, value)."""
+    body = F.coalesce(text, F.lit(""))
+    return F.struct(
+        F.filter(_located(body, ASSIGN, 2), lambda m: F.length(m["value"]) >= 6).alias("assign"),
+        _located(body, ACCESS).alias("access"),
+        _located(body, HEX).alias("hex"),
+        _located(body, RUN).alias("run"),
     )
 
 
-def _touches(r: Column) -> Column:
+def _touches(spans: Column, r: Column) -> Column:
     hit = lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])
-    return F.exists("assign", hit) | F.exists("access", hit) | F.exists("hex", hit)
+    return F.exists(spans["assign"], hit) | F.exists(spans["access"], hit) | F.exists(spans["hex"], hit)
 
 
 def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5, backoff: float = 1000.0) -> tuple[list[float], float] | None:
@@ -83,16 +103,19 @@ def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5, backoff:
     The threshold is the log odds of an ordinary run, plus ln 100: a run is reported
     if it is a hundred times as likely to be random.
     """
-    runs = base_spans(docs.select(F.col(text).alias("text"))).select(F.explode(F.transform("run", lambda r: F.struct(_touches(r).alias("random"), r["value"].alias("value")))).alias("r")).select("r.*")
-    pairs = runs.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substr(F.col("value"), i, F.lit(2)))).alias("pair"))
-    counted = pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r["random"]: r["n"] for r in runs.groupBy("random").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = docs.select(base_spans(F.col(text)).alias("s"))
+    runs = found.select(F.explode(F.transform("s.run", lambda r: F.struct(_touches(F.col("s"), r).alias("random"), r["value"].alias("value")))).alias("r")).select("r.*")
+    # the empty pair counts the runs
+    pairs = F.transform(F.sequence(F.lit(0), F.length("value") - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.substr(F.col("value"), i, F.lit(2))))
+    counted = runs.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 x (67 x 67 + 1) rows at most
+    totals = {r["random"]: r["n"] for r in counted if r["pair"] == ""}
     if len(totals) < 2:
         return None
     size, place = len(ALPHABET), {c: k for k, c in enumerate(ALPHABET)}
     seen = {True: [[0] * size for _ in range(size)], False: [[0] * size for _ in range(size)]}
-    for r in counted.collect():  # 2 x 67 x 67 rows at most
-        seen[r["random"]][place[r["pair"][0]]][place[r["pair"][1]]] += r["n"]
+    for r in counted:
+        if r["pair"]:
+            seen[r["random"]][place[r["pair"][0]]][place[r["pair"][1]]] += r["n"]
     log = {}
     for k, rows in seen.items():
         single = [sum(c) + smoothing for c in zip(*rows, strict=True)]
@@ -107,28 +130,27 @@ def scan(docs: DataFrame, model: tuple[list[float], float] | None, *, text: str
 
     ``score`` is the log-likelihood ratio of kind markov, else null.
     """
-    found = base_spans(docs, text=text)
-
     def tagged(kind: str, k: int, column: Column, score) -> Column:
         return F.transform(
             column,
             lambda m: F.struct(m["start"], F.lit(k).alias("order"), F.lit(kind).alias("kind"), m["end"], m["value"], score(m).cast("double").alias("score")),
         )
 
-    none = lambda m: F.lit(None)
-    lists = [tagged(kind, k, F.col(kind), none) for k, kind in enumerate(KINDS[:3])]
-    if model is not None:
-        ratio, threshold = model
-        table = F.from_json(F.lit(str(ratio)), "array<double>")
-
-        def likelihood(m: Column) -> Column:
-            codes = F.transform(F.split(m["value"], "", -1), lambda c: F.instr(F.lit(ALPHABET), c))
-            # split by the empty pattern ends with an empty string where the length is not limited
-            steps = F.zip_with(F.slice(codes, 1, F.length(m["value"]) - 1), F.slice(codes, 2, F.length(m["value"]) - 1), lambda a, b: F.get(table, (a - 1) * len(ALPHABET) + b - 1))
-            return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
-
-        free = F.filter("run", lambda r: ~_touches(r))
-        lists.append(F.filter(tagged("markov", 3, free, likelihood), lambda m: m["score"] > threshold))
-    ordered = F.array_sort(F.concat(*lists))
-    secrets = F.transform(ordered, lambda m: F.struct(m["kind"], m["start"], m["end"], m["value"], m["score"]))
-    return found.withColumn("secrets", secrets).drop(*({"assign", "access", "hex", "run"} - set(docs.columns)))
+    def listed(spans: Column) -> Column:
+        none = lambda m: F.lit(None)
+        lists = [tagged(kind, k, spans[kind], none) for k, kind in enumerate(KINDS[:3])]
+        if model is not None:
+            ratio, threshold = model
+            table = F.from_json(F.lit(str(ratio)), "array<double>")
+
+            def likelihood(m: Column) -> Column:
+                # split by the empty pattern ends with an empty string where the length is not limited
+                codes = F.transform(F.split(m["value"], "", -1), lambda c: F.instr(F.lit(ALPHABET), c))
+                steps = lambda c: F.zip_with(F.slice(c, 1, F.length(m["value"]) - 1), F.slice(c, 2, F.length(m["value"]) - 1), lambda a, b: F.get(table, (a - 1) * len(ALPHABET) + b - 1))
+                return _let(codes, lambda c: F.aggregate(steps(c), F.lit(0.0), lambda s, x: s + x))
+
+            free = F.filter(spans["run"], lambda r: ~_touches(spans, r))
+            lists.append(F.filter(tagged("markov", 3, free, likelihood), lambda m: m["score"] > threshold))
+        return F.transform(F.array_sort(F.concat(*lists)), lambda m: F.struct(m["kind"], m["start"], m["end"], m["value"], m["score"]))
+
+    return docs.withColumn("secrets", _let(base_spans(F.col(text)), listed))

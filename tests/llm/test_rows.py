@@ -117,9 +117,12 @@ SECRET_TEXTS = [
 
 
 def test_secrets_base(spark):
-    docs = clashing(spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string"))
-    got = secrets.scan(docs, secrets.fit(docs)).collect()
+    docs = clashing(spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")).selectExpr("*", "'mine' as hex", "'too' as access")
+    found = secrets.scan(docs, secrets.fit(docs))
+    assert found.columns == [c for c in docs.columns if c != "secrets"][: docs.columns.index("secrets")] + ["secrets"] + docs.columns[docs.columns.index("secrets") + 1 :]
+    got = found.collect()
     assert len(got) == len(SECRET_TEXTS)
+    assert {(r["assign"], r["run"], r["hex"], r["access"]) for r in got} == {(1, 1, "mine", "too")}
     for r in got:
         want = sorted((m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(FORMATS) for m in p.finditer(SECRET_TEXTS[r["doc_id"]] or "") if ok(m))
         assert [(s["kind"], s["start"], s["end"]) for s in r["secrets"] if s["kind"] != "markov"] == [(n, a, z) for a, _, n, z in want]
@@ -127,6 +130,15 @@ def test_secrets_base(spark):
             assert s["value"] in SECRET_TEXTS[r["doc_id"]][s["start"] : s["end"]]
 
 
+def test_secrets_many_matches(spark):
+    """Places of matches beyond a chunk, in linear time."""
+    n = 20_000
+    text = "".join(f"é token=abcdef{k:06d}\n" for k in range(n))
+    (r,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), None).collect()
+    want = [(m.start(), m.end()) for m in FORMATS[0][1].finditer(text)]
+    assert [(s["start"], s["end"]) for s in r["secrets"]] == want and len(want) == n
+
+
 def test_secrets_markov(spark):
     rng = random.Random(1)
     letters = secrets.ALPHABET[:62]
