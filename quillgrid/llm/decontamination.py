@@ -9,8 +9,13 @@ one for an equal word and minus ``penalty`` for a substituted one, is not negati
 and that begins and ends with an equal word, or is the whole item, is an overlap if it
 has ``least_words`` words, or all words of a shorter item.
 
+An item of fewer than twelve words is sought as a whole under the same law.  Of n words
+n // (1 + penalty) may be substituted, so of one part more, cut in fixed places, one part
+is equal: the masks that show a single part find it.
+
 The items' hashes go to every task in blocks of ``block_words`` item words, one
 pass over the texts a block, so what is sent is bounded whatever the benchmark's size.
+A seed that many items share names them ``EXPANDED`` at a time.
 
 Defined results: a null or empty text or item overlaps nothing; an item of 3 to 11
 words is sought as a whole, a shorter one not at all (it would name no source);
@@ -36,6 +41,15 @@ from .shared import _SHINGLE, Words, mix, stage, text_chunks
 MASKS = ("110110111011", "111010110111", "101111011101", "111101101011", "011011101111", "111111110000")
 SPAN = 12
 SHORTEST = 3
+#: Hits of a chunk that are compared at once.
+EXPANDED = 1 << 18
+
+
+def _parts(n: int, penalty: int) -> list[tuple[int, int]]:
+    """(start, words) of the parts of a short item of which one is equal in every overlap."""
+    cut = n // (1 + penalty) + 1
+    ends = [n * (k + 1) // cut for k in range(cut)]
+    return [(a, z - a) for a, z in zip([0, *ends], ends, strict=False)]
 
 
 def _mask_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -52,29 +66,41 @@ def _mask_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class Seeds:
     """Seeds of a block of items, sorted by hash, with a bitmap of their top bits."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], penalty: int):
         self.items = items
-        short = sorted({len(w) for _, w in items if SHORTEST <= len(w) < SPAN})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        short = {n for _, w in items if SHORTEST <= len(w) < SPAN for _, n in _parts(len(w), penalty)}
+        self.masks = [*MASKS, *("1" * n for n in sorted(short))]
+        salt = {len(mask): m for m, mask in enumerate(self.masks) if m >= len(MASKS)}
         hashes, owner, place = [], [], []
+
+        def add(k: int, h: np.ndarray, at: np.ndarray) -> None:
+            hashes.append(h)
+            owner.append(np.full(len(h), k))
+            place.append(at)
+
         for k, (_, w) in enumerate(items):
-            for m, mask in enumerate(self.masks):
-                if (len(mask) == SPAN) != (len(w) >= SPAN) or len(mask) < SPAN and len(mask) != len(w):
-                    continue
-                h = _mask_hashes(w, mask, m)
-                hashes.append(h)
-                owner.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
+            if len(w) >= SPAN:
+                for m, mask in enumerate(MASKS):
+                    h = _mask_hashes(w, mask, m)
+                    add(k, h, np.arange(len(h)))
+            elif len(w) >= SHORTEST:
+                for at, n in _parts(len(w), penalty):
+                    add(k, _mask_hashes(w[at : at + n], "1" * n, salt[n]), np.array([at]))
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         h, o, p = cat(hashes, np.uint64), cat(owner, np.int64), cat(place, np.int64)
         order = np.lexsort((p, o, h))
         self.hash, self.owner, self.place = h[order], o[order], p[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        # the words of short items in rows, for comparisons of many hits at once
+        self.size = np.array([len(w) for _, w in items], np.int64)
+        self.words = np.zeros((len(items), SPAN), np.uint64)
+        for k, (_, w) in enumerate(items):
+            if len(w) < SPAN:
+                self.words[k, : len(w)] = w
 
-    def overlaps(self, w: Words, least: int, penalty: int) -> Iterator[tuple]:
-        """(text, item, start, end, item start, item end, matched), words, every stretch of each text and item."""
-        where, item, diagonal = [], [], []
+    def _hits(self, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, diagonal) of the seeds that a chunk has, ``EXPANDED`` hits at a time."""
         for m, mask in enumerate(self.masks):
             h = _mask_hashes(w.hashes, mask, m)
             at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -85,17 +111,37 @@ class Seeds:
             text = np.searchsorted(w.bounds, at, "right") - 1
             inside = at + len(mask) <= w.bounds[text + 1]
             at, lo, n, text = at[inside], lo[inside], n[inside], text[inside]
-            if not len(at):
-                continue
-            seed = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            where.append(np.repeat(text, n))
-            item.append(self.owner[seed])
-            diagonal.append(np.repeat(at, n) - self.place[seed])
-        if not where:
+            before = np.concatenate([[0], np.cumsum(n)])
+            for begin in range(0, int(before[-1]), EXPANDED):
+                hit = np.arange(begin, min(begin + EXPANDED, int(before[-1])))
+                row = np.searchsorted(before, hit, "right") - 1
+                seed = lo[row] + hit - before[row]
+                yield text[row], self.owner[seed], at[row] - self.place[seed]
+
+    def _possible(self, w: Words, each: np.ndarray, penalty: int) -> np.ndarray:
+        """Which hits (text, item, diagonal) can be overlaps: short items are compared as wholes here, all at once."""
+        text, item, d = each
+        n, good = self.size[item], np.ones(len(item), bool)
+        short = np.flatnonzero(n < SPAN)
+        text, item, d, n = text[short], item[short], d[short], n[short]
+        equal = np.zeros(len(short), np.int64)
+        for j in range(SPAN):
+            at = d + j
+            ok = (j < n) & (at >= w.bounds[text]) & (at < w.bounds[text + 1])
+            equal += ok & (w.hashes[np.where(ok, at, 0)] == self.words[item, j])
+        good[short] = (equal >= penalty * (n - equal)) & (d >= w.bounds[text]) & (d + n <= w.bounds[text + 1])
+        return good
+
+    def overlaps(self, w: Words, least: int, penalty: int) -> Iterator[tuple]:
+        """(text, item, start, end, item start, item end, matched), words, every stretch of each text and item."""
+        kept = []
+        for text, item, diagonal in self._hits(w):
+            each = np.unique(np.stack([text, item, diagonal]), axis=1)
+            kept.append(each[:, self._possible(w, each, penalty)])
+        if not kept:
             return
-        each = np.unique(np.stack([np.concatenate(where), np.concatenate(item), np.concatenate(diagonal)]), axis=1)
         found: dict[tuple[int, int], list[tuple]] = {}
-        for text, k, d in each.T.tolist():
+        for text, k, d in np.unique(np.concatenate(kept, axis=1), axis=1).T.tolist():
             own = self.items[k][1]
             a, z = max(0, int(w.bounds[text]) - d), min(len(own), int(w.bounds[text + 1]) - d)
             equal = w.hashes[d + a : d + z] == own[a:z]
@@ -178,7 +224,7 @@ def drop_overlapping(docs: DataFrame, benchmark: DataFrame, *, text: str = "text
 
     def keep(items: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(items)
+            seeds = Seeds(items, penalty)
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for at, _, data, offsets in text_chunks(b.column(place)):
@@ -195,7 +241,7 @@ def drop_overlapping(docs: DataFrame, benchmark: DataFrame, *, text: str = "text
 
 def _pass(items: list, least: int, penalty: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(items)
+        seeds = Seeds(items, penalty)
         for b in batches:
             rows = []
             for at, _, data, offsets in text_chunks(b.column(1)):

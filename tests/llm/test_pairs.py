@@ -324,3 +324,44 @@ def test_one_row_of_each_class(spark):
         if i is not None and shingles(t):
             assert any(s and 100 * len(s & shingles(t)) >= 80 * len(s | shingles(t)) for _, s in named) or of[i] != i
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_short_items_follow_brute_force(spark):
+    """Items of 3 to 11 words, some words substituted, each held twice: every place where four fifths agree."""
+    rng = random.Random(17)
+    items = [(k, " ".join(f"v{rng.randrange(5)}" if k % 2 else f"u{rng.randrange(10**6)}" for _ in range(3 + k % 9))) for k in range(36)]
+    rows = []
+    for k, x in items:
+        parts = []
+        for lost in (0, 1, 2):
+            w = x.split()
+            for p in rng.sample(range(len(w)), lost):
+                w[p] = "other"
+            parts += [prose(rng, 6), " ".join(w)]
+        rows.append((k, " ".join(parts)))
+    want = set()
+    for i, t in rows:
+        w = words(t)
+        for k, x in items:
+            own = words(x)
+            for at in range(len(w) - len(own) + 1):
+                same = sum(a == b for a, b in zip(w[at : at + len(own)], own, strict=True))
+                if same >= 4 * (len(own) - same):
+                    want |= {(i, k, p) for p in range(at, at + len(own))}
+    got = decontamination.find_overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], p) for r in got for p in range(r["start"], r["end"])} == want
+    nine = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "a b c d e f")], "item_id long, text string")
+    (r,) = decontamination.find_overlaps(frame(spark, [(1, "so one two three four other six seven eight nine it is"), (2, "a b x d e")]), nine).collect()
+    assert (r["doc_id"], r["item_id"], r["start"], r["end"], r["matched"]) == (1, 1, 1, 10, 8)
+
+
+def test_seed_that_all_items_share(spark, monkeypatch):
+    """Items with one beginning, equal items (ties) and a text that holds it many times."""
+    rng = random.Random(18)
+    head = prose(rng, 20, 9000)
+    items = [(k, f"{head} {prose(rng, 10, 9000)}") for k in range(50)] + [(100, f"{head} end"), (101, f"{head} end")]
+    rows = [(1, " ".join(f"{head} {prose(rng, 3, 9000)}" for _ in range(20))), (2, prose(rng, 50))]
+    monkeypatch.setattr(decontamination, "EXPANDED", 64)
+    got = decontamination.find_overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["item_id"], r["start"]) for r in got} == {(k, 23 * n) for k, _ in items for n in range(20)}
+    assert {r["matched"] for r in got} == {20}
