@@ -2,15 +2,16 @@
 
 The lengths' global histogram is reduced by a dynamic program to at most
 ``buckets`` boundaries that minimise the total padding; inside each bucket, rows
-form batches of ``token_budget // boundary`` rows.
+form batches of ``token_budget // boundary`` rows, one at least.  One law holds for all
+rows: one that is longer than the budget is a bucket's row like any other, and the only
+one of its batch.
 
-Only lengths up to ``token_budget`` enter the program, so the histogram that the
-driver reads has at most ``token_budget + 1`` rows, whatever the input.  A longer
-row makes a batch of its own, unpadded, in the last bucket: no row is cut or dropped.
+The driver reads the histogram: one row for each length that occurs, so its size is
+bounded by the longest row's length and does not grow with the number of rows.
 
-Defined results: a null text has length 0; ties in length share a bucket; repeated
-rows are numbered by their position in the staged table; an empty table gives no
-rows; other columns of the input are not read.
+Defined results: a null text has length 0, a null length as well; ties in length share a
+bucket; repeated rows are numbered by their position in the staged table; an empty table
+gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def word_length(text: str = "text") -> Column:
 
 
 def bpe_lengths(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, length) in tokens of a ``tokenizers`` JSON file that every executor can open."""
+    """(key, length) in tokens of a ``tokenizers`` JSON file that every executor can open; a null text has none."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -45,7 +46,7 @@ def bpe_lengths(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: s
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64())], names=["key", "length"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(count, f"key {kind}, length long").withColumnRenamed("key", key)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(count, f"key {kind}, length long").withColumnRenamed("key", key)
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -100,15 +101,15 @@ def pack(lengths: DataFrame, *, key: str = "doc_id", length: str = "length", buc
     """(key, length, bucket, padded, batch, place): batches of a bucket run from 0,
     places within a batch from 0; ``padded`` is the length after padding."""
     rows = stage(
-        lengths.select(F.col(key).alias("key"), F.col(length).cast("long").alias("length"), F.monotonically_increasing_id().alias("row")).withColumn(
+        lengths.select(F.col(key).alias("key"), F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long")).alias("length"), F.monotonically_increasing_id().alias("row")).withColumn(
             "bin", F.pmod(F.xxhash64("key", "row"), F.lit(bins))
         ),
         "pack-lengths",
     )
-    found = rows.filter(F.col("length") <= token_budget).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # token_budget + 1 rows at most
+    found = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each length
     found.sort()
     bounds = bucket_bounds(np.array([r[0] for r in found]), np.array([r[1] for r in found]), buckets)
-    bucket, padded = F.lit(len(bounds)), F.col("length")
+    bucket, padded = F.lit(None), F.lit(None)
     for k in range(len(bounds) - 1, -1, -1):
         inside = F.col("length") <= bounds[k]
         bucket = F.when(inside, F.lit(k)).otherwise(bucket)
