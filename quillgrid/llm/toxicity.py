@@ -5,11 +5,12 @@ trie.  The Levenshtein automaton for one edit is intersected with that trie and
 made deterministic once; texts then run through its transition table, all words of
 a chunk at a time.  Each hit is read in a window of words: hits inside quotation
 marks, next to other hits or next to words of address count apart, so that the
-logistic model over the counts can tell quotation from abuse.
+logistic model over the counts and their densities can tell quotation from abuse.
 
-``fit`` reads at most ``sample_rows`` labelled texts (those with the smallest
-hashes of their ids): the only bound, and it binds training alone.  Scoring reads
-whole texts and keeps nothing between rows.
+Two parameters bound training, and training alone: ``fit`` reads at most ``sample_rows``
+labelled texts (those with the smallest hashes of their ids), and the lexicon has at
+most ``terms`` entries, the most frequent ones.  Scoring reads whole texts and keeps
+nothing between rows.
 
 Defined results: a null or empty text has no hits and gets the score of one; rows
 with a null label do not train; an id labelled twice takes its larger label; with no
@@ -39,9 +40,9 @@ QUOTES = '"“”„«»'
 ADDRESS = ("you", "your", "youre", "u", "ur", "du", "dich", "dein", "ihr", "euch", "sie", "tu", "toi", "te", "vous", "usted", "ustedes", "eres", "are", "bist", "es")
 SIGNS = "@$*"
 WINDOW = 6
-NAMES = ("word", "word_fuzzy", "stem", "stem_fuzzy", "quoted", "addressed", "clustered")
+NAMES = ("word", "word_fuzzy", "stem", "stem_fuzzy", "quoted", "addressed", "clustered", "words")
 
-_TOKEN = re.compile(r"[^\W_]+(?:[@$*]+[^\W_]+)*")
+_TOKEN = re.compile(r"[@$*]?[^\W_]+(?:[@$*]+[^\W_]+)*")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -52,40 +53,50 @@ def held_out(key: str = "doc_id") -> Column:
 # ---------------------------------------------------------------- lexicon
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, *, limit: int = 400, support: float = 0.02, precision: float = 0.9) -> list[tuple[str, bool]]:
+def learn_lexicon(texts: list[str], toxic: np.ndarray, *, limit: int = 1_000, support: float = 0.02, precision: float = 0.9, dense: float = 0.008) -> list[tuple[str, bool]]:
     """Words and stems (term, is_stem) that mark toxic texts, the most frequent first.
 
     A stem is a beginning that at least three different words share; what a chosen
-    stem begins is not listed again.  A term must be in the share ``support`` of the
-    toxic texts, and in four at least.
+    stem begins is not listed again.  A term marks a text by being in it, or, if it is a
+    stem that clean texts also hold now and then, by being the share ``dense`` of its words.
+    It must mark the share ``support`` of the toxic texts, and three at least.
     """
-    least = max(4, math.ceil(support * toxic.sum()))
-    bag = lambda d: set(_TOKEN.findall(texts[d].lower()))  # noqa: E731  one text's words at a time are held
+    least = max(3, math.ceil(support * toxic.sum()))
+
+    def marks(d: int) -> tuple[Counter, set]:
+        """A text's words, and the terms that mark it as (word, is_stem, is_dense)."""
+        own = Counter(_TOKEN.findall(texts[d].lower()))  # one text's words at a time are held
+        stems: Counter = Counter()
+        for w, n in own.items():
+            for k in range(4, min(8, len(w))):
+                stems[w[:k]] += n
+        bar = dense * sum(own.values())
+        out = {(w, False, False) for w in own if len(w) >= 4}
+        out.update((s, True, False) for s in stems)
+        out.update((s, True, True) for s, n in stems.items() if n >= bar and n > 1)
+        return own, out
+
     where: Counter = Counter()
     for d in np.flatnonzero(toxic):
-        own = bag(d)
-        where.update((w, False) for w in own if len(w) >= 4)
-        where.update({(w[:n], True) for w in own for n in range(4, min(8, len(w)))})
+        where.update(marks(d)[1])
     where = Counter({t: n for t, n in where.items() if n >= least})
-    heads: dict[tuple[str, bool], set[str]] = defaultdict(set)  # words that a stem begins, three at most
+    stems = {t[0] for t in where if t[1]}
+    heads: dict[str, set[str]] = defaultdict(set)  # words that a stem begins, three at most
     for d in np.flatnonzero(toxic):
-        for w in bag(d):
+        for w in marks(d)[0]:
             for n in range(4, min(8, len(w))):
-                if (t := (w[:n], True)) in where and len(heads[t]) < 3:
-                    heads[t].add(w)
-    where = Counter({t: n for t, n in where.items() if not t[1] or len(heads[t]) >= 3})
+                if w[:n] in stems and len(heads[w[:n]]) < 3:
+                    heads[w[:n]].add(w)
+    where = Counter({t: n for t, n in where.items() if not t[1] or len(heads[t[0]]) >= 3})
     clean: Counter = Counter()
     for d in np.flatnonzero(~toxic):
-        own = bag(d)
-        terms = {t for w in own if (t := (w, False)) in where}
-        terms.update(t for w in own for n in range(4, min(8, len(w))) if (t := (w[:n], True)) in where)
-        clean.update(terms)
+        clean.update(t for t in marks(d)[1] if t in where)
     weight = max(1.0, (~toxic).sum() / max(1, toxic.sum()))  # classes weigh alike
     good = [t for t, n in where.items() if n * weight >= precision * (n * weight + 4 * clean[t]) and clean[t] <= 0.1 * n]
     chosen: list[tuple[str, bool]] = []
-    for t in sorted(good, key=lambda t: (-where[t], not t[1], len(t[0]), t[0])):
-        if len(chosen) < limit and not any(stem and t[0].startswith(s) for s, stem in chosen):
-            chosen.append(t)
+    for t in sorted(good, key=lambda t: (-where[t], not t[1], len(t[0]), t)):
+        if len(chosen) < limit and t[:2] not in chosen and not any(stem and t[0].startswith(s) for s, stem in chosen):
+            chosen.append(t[:2])
     return chosen
 
 
@@ -118,7 +129,7 @@ def build_automaton(lexicon: list[tuple[str, bool]]) -> Automaton:
             at = children[at][c]
             deep[at] = max(deep[at], allowed)
         ends[at].add((stem, allowed))
-    classes = {c: k + 1 for k, c in enumerate(sorted({c for t, _ in lexicon for c in t})[:254])}
+    classes = {c: k + 1 for k, c in enumerate(sorted({c for t, _ in lexicon for c in t}))}
 
     def close(states: set) -> frozenset:
         todo = list(states)
@@ -126,7 +137,7 @@ def build_automaton(lexicon: list[tuple[str, bool]]) -> Automaton:
             n, e = todo.pop()
             if isinstance(n, int) and e == 0:
                 for m in children[n].values():
-                    if deep[m] and n and (m, 1) not in states:  # a letter of the term is left out, the first excepted
+                    if deep[m] and (m, 1) not in states:  # a letter of the term is left out
                         states.add((m, 1))
                         todo.append((m, 1))
         out = set()
@@ -160,7 +171,7 @@ def build_automaton(lexicon: list[tuple[str, bool]]) -> Automaton:
                     continue
                 if c in children[n]:
                     after.add((children[n][c], e))
-                if e == 0 and n:
+                if e == 0:
                     if deep[n]:
                         after.add((n, 1))  # a letter too many
                     after.update((m, 1) for m in children[n].values() if deep[m])  # another letter
@@ -189,7 +200,7 @@ class Reader:
         self.kind = space
         self.quote = np.zeros(0x110000, bool)
         self.quote[[ord(c) for c in QUOTES]] = True
-        self.lookup = np.zeros(0x110000, np.uint8)
+        self.lookup = np.zeros(0x110000, np.uint16 if len(automaton.classes) < 1 << 16 else np.uint32)
         for c, k in automaton.classes.items():
             self.lookup[ord(c)] = k
 
@@ -219,11 +230,14 @@ class Reader:
         place = np.arange(len(codes))
         last = np.maximum.accumulate(np.where(letter, place, -1))
         first = np.minimum.accumulate(np.where(letter, place, len(codes))[::-1])[::-1]
-        starts, ends = first[starts], last[ends - 1] + 1
+        # a sign right before a word is a letter of it ("$cum"), signs after a word are not
+        lead = np.clip(first[starts] - 1, starts, None)
+        starts, ends = np.where(first[starts] < ends, lead, ends), last[ends - 1] + 1
         some = ends > starts
         starts, ends = starts[some], ends[some]
         if not len(starts):
             return
+        out[:, 7] = np.bincount(np.searchsorted(bounds, starts, "right") - 1, minlength=len(texts))
         table, state = self.automaton.table, np.zeros(len(starts), np.int32)
         cls = self.lookup[codes]
         dead = int(np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & (self.automaton.verdict == 0))[0]) if len(self.automaton.classes) else -1
@@ -272,8 +286,9 @@ class Model:
 
 def _design(counts: np.ndarray) -> np.ndarray:
     hits = counts[:, :4].sum(1, keepdims=True)
-    shares = counts[:, 4:] / np.maximum(hits, 1)
-    return np.hstack([np.ones((len(counts), 1)), np.log1p(counts[:, :4]), (hits > 0).astype(float), shares])
+    shares = counts[:, 4:7] / np.maximum(hits, 1)
+    density = np.log1p(1000 * counts[:, :4] / np.maximum(counts[:, 7:8], 20))
+    return np.hstack([np.ones((len(counts), 1)), np.log1p(counts[:, :4]), (hits > 0).astype(float), shares, density])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> np.ndarray:
@@ -289,7 +304,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 8_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 8_000, terms: int = 1_000) -> Model:
     """Learn from the labelled rows outside the held-out fifth, ``sample_rows`` at most.
 
     The weights are learned from each half's counts by the lexicon of the other half,
@@ -310,17 +325,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     if not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
         share = min(max(share, 1e-9), 1 - 1e-9)
-        return Model(None, np.array([math.log(share / (1 - share))] + [0.0] * 8))
+        return Model(None, np.array([math.log(share / (1 - share))] + [0.0] * 12))
     texts = got["_text"].fillna("").tolist()
     del got
     part = np.arange(len(texts)) % 2 == 0
     pick = lambda keep: [t for t, k in zip(texts, keep, strict=True) if k]
     counts = np.zeros((len(texts), len(NAMES)))
     for half in (part, ~part):
-        other = build_automaton(learn_lexicon(pick(half), y[half]))
+        other = build_automaton(learn_lexicon(pick(half), y[half], limit=terms))
         counts[~half] = Reader(other).read(pick(~half))
     weights = fit_logistic(_design(counts), y.astype(float))
-    lexicon = learn_lexicon(texts, y)
+    lexicon = learn_lexicon(texts, y, limit=terms)
     return Model(build_automaton(lexicon), weights, lexicon)
 
 

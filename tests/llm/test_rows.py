@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -74,22 +76,46 @@ def test_bounds_are_optimal():
 
 def test_pack(spark):
     rows = documents()
-    docs = clashing(frame(spark, rows)).drop("length").select("doc_id", "text", packing.word_length().alias("length"))
-    got = packing.pack(docs, buckets=4, token_budget=500, bins=8).collect()
-    assert ordered((r["doc_id"], r["length"]) for r in got) == ordered((i, len(words(t))) for i, t in rows)
+    table = frame(spark, rows).select("doc_id", packing.word_length().alias("words"))
+    docs = clashing(table).withColumnRenamed("bucket", "place")
+    got = packing.pack(docs, length="words", buckets=4, token_budget=500, bins=8).collect()
+    lengths = [len(words(t)) for _, t in rows]
+    assert ordered((r["doc_id"], r["length"]) for r in got) == ordered((i, n) for (i, _), n in zip(rows, lengths, strict=True))
     batches: dict = {}
     for r in got:
         assert r["padded"] >= r["length"]
         batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    for (bucket, _), b in batches.items():
+    for (_, _), b in batches.items():
         assert sorted(r["place"] for r in b) == list(range(len(b)))
         assert len(b) == 1 or sum(r["padded"] for r in b) <= 500 or max(r["padded"] for r in b) == 0
-        assert len({r["padded"] for r in b}) == 1 or bucket == max(r["bucket"] for r in got)
+        assert len({r["padded"] for r in b}) == 1
     for bucket in {k for k, _ in batches}:
         numbers = sorted(n for k, n in batches if k == bucket)
         assert numbers == list(range(len(numbers)))
         assert len({len(batches[bucket, n]) for n in numbers[:-1]}) <= 1
-    assert packing.pack(docs.limit(0)).count() == 0
+    # the total padding, rows over the budget included, is the least that four boundaries can have
+    values = sorted(set(lengths))
+    seen = Counter(lengths)
+    best = packing.bucket_bounds(np.array(values), np.array([seen[v] for v in values]), 4)
+    assert sum(r["padded"] - r["length"] for r in got) == padding(lengths, best) and max(r["length"] for r in got) > 500
+    assert packing.pack(docs.limit(0), length="words").count() == 0
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabulary files")
+def test_lengths_in_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = next((str(p) for p in sorted(Path(TOKENIZERS).rglob("*.json")) if '"model"' in p.read_text(errors="ignore")[:10_000_000]), None)
+    if path is None:
+        pytest.skip("no tokenizers file")
+    coder = Tokenizer.from_file(path)
+    coder.encode_special_tokens = True
+    rows = [(1, "Hello wörld, this is text."), (2, None), (3, ""), (None, "x y"), (1, "twice")]
+    got = packing.bpe_lengths(clashing(frame(spark, rows)), path).collect()
+    assert ordered(map(tuple, got)) == ordered((i, len(coder.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
 
 
 # ---------------------------------------------------------------- secrets
@@ -266,21 +292,24 @@ def distance(a, b):
 
 
 def test_automaton_is_the_edit_distance():
+    """Every edit, at the first letter as well, of terms in any script; more letters than a byte counts."""
     rng = random.Random(3)
-    lexicon = [("idiot", False), ("moron", False), ("scum", False), ("worthless", False), ("trash", False)]
-    a = toxicity.build_automaton(lexicon)
-    reader = toxicity.Reader(a)
-    for _ in range(2000):
+    lexicon = [("idiot", False), ("moron", False), ("scum", False), ("worthless", False), ("trash", False), ("дурак", False)]
+    other = [(chr(0x4E00 + 7 * k) + chr(0x4E03 + 7 * k) + chr(0x4E05 + 7 * k), False) for k in range(200)]
+    reader = toxicity.Reader(toxicity.build_automaton(lexicon + other))
+    for _ in range(3000):
         w = list(rng.choice(lexicon)[0])
         for _ in range(rng.randrange(0, 3)):
-            k = rng.randrange(1, len(w) + 1)
-            w[k : k + rng.randrange(0, 2)] = rng.choice(["", "a", "x", "t"])
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(0, 2)] = rng.choice(["", "a", "x", "t", "1"])
         w = "".join(w)
-        near = [(distance(w, t), t) for t, _ in lexicon if w[0] == t[0]]
+        near = [(distance(w, t), t) for t, _ in lexicon]
         exact = any(d == 0 for d, _ in near)
         fuzzy = any(d == 1 and len(t) >= 5 for d, t in near)
         got = reader.read([f"so {w} it"])[0]
         assert (got[0], got[1]) == (float(exact), float(fuzzy and not exact)), w
+    assert all(reader.read([t])[0][0] == 1 for t, _ in other)
+    assert [tuple(reader.read([t])[0][:2]) for t in ("1diot", "$cum trash$ @moron", "*diot", "id$ot", "")] == [(0, 1), (1, 1), (0, 1), (0, 1), (0, 0)]
 
 
 def test_toxicity(spark):
@@ -306,6 +335,8 @@ def test_toxicity(spark):
     held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 5 == 0]
     assert sum(s[k][1] == (k % 5 == 0) for k in held) >= 0.98 * len(held)
     assert s[1000] == s[1001] and s[1000][1] == 0 and s[1002][1] == 1 and all(0 <= v[0] <= 1 for v in s.values())
+    long = toxicity.score(frame(spark, [(1, "fine words here " * 200_000), (2, "fine words " * 100_000 + "you moron idiot " * 5_000)]), toxicity.fit(docs, table))
+    assert {r["doc_id"]: r["toxic"] for r in long.collect()} == {1: 0, 2: 1}
     none = toxicity.fit(docs, table.limit(0))
     assert {r["toxic"] for r in toxicity.score(docs, none).collect()} == {0}
     assert toxicity.score(docs.limit(0), none).count() == 0
