@@ -7,6 +7,7 @@ the dividend's sign; a fraction divided by zero is an infinity or no number.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import Any
 
@@ -52,6 +53,17 @@ def _xor(a: Column, b: Column) -> Column:
     return a != b
 
 
+def _search(key: Column, low: Column, high: Column, array: Column) -> Column:
+    """Place of a key among the places low to high - 1 of a sorted array, -1 if it is not there."""
+    at = F.array_position(F.slice(array, low + 1, F.greatest(high - low, F.lit(0))), key)
+    return F.when(at > 0, low + at - 1).otherwise(F.lit(-1)).cast("int")
+
+
+def _plain_search(key: Any, low: int, high: int, array: list) -> int:
+    at = bisect_left(array, key, low, high)
+    return at if at < high and array[at] == key else -1
+
+
 OPERATORS: dict[str, Callable] = {
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,
@@ -89,6 +101,9 @@ FUNCTIONS: dict[str, Callable] = {
     "inRange": _both(lambda i, a, b, s: (i >= a) & (i <= b) & ((i - a) % s == 0), lambda i, a, b, s: a <= i <= b and (i - a) % s == 0),
     "range": _both(F.sequence, lambda a, b, s=1: list(range(a, b + 1, s))),
     "sort": _both(F.sort_array, sorted),
+    "unique_values": _both(F.array_distinct, lambda a: list(dict.fromkeys(a))),
+    "array_size": _both(F.size, len),
+    "binarySearch": _both(_search, _plain_search),
 }
 
 METHODS: dict[str, Callable] = {

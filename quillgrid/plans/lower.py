@@ -20,6 +20,7 @@ from ..functions import scalars
 from ..lang import tree as t
 from ..session import config
 from ..tensor import Tensor, store, zero
+from ..lang.tree import pretty
 from .rewrite import conjuncts, rewrite
 
 
@@ -68,7 +69,8 @@ class State:
     scope: dict[str, Any] = field(default_factory=dict)
     key: frozenset | None = frozenset()  # columns that identify a row
     same: dict[str, str] = field(default_factory=dict)  # equal columns, by predicates
-    covers: bool = True  # no predicate has dropped a row
+    covers: bool = True  # the rows are all combinations of the indexes in ``domains``
+    domains: dict[str, int] = field(default_factory=dict)  # index columns that run over 0 to n - 1
 
     def top(self, n: str) -> str:
         while n in self.same:
@@ -123,16 +125,18 @@ class Lowering:
         return f"_{hint}_{self.count}"
 
     def is_array(self, name: str) -> bool:
-        return isinstance(self.env.get(name), Tensor)
+        """Whether elements of a name are read by joining it: an array, or a distributed map."""
+        v = self.env.get(name)
+        return isinstance(v, Tensor) or isinstance(v, DataFrame) and v.columns == ["k", "v"]
 
     # ---- comprehensions
 
-    def comprehension(self, c: t.Comprehension, outer: State | None = None) -> tuple[State, Any]:
-        """The final state and the head's value."""
+    def comprehension(self, c: t.Comprehension, outer: State | None = None, start: State | None = None) -> tuple[State, Any]:
+        """The final state and the head's value; ``start``: rows that are there before the first qualifier."""
         c = rewrite(c, self.is_array, self.fresh)
         if config.trace:
-            print(c)
-        s = State(scope=dict(outer.scope) if outer else {})
+            print(pretty(c))
+        s = start or State(scope=dict(outer.scope) if outer else {})
         head, quals = c.head, list(c.quals)
         while quals:
             q = quals.pop(0)
@@ -160,7 +164,14 @@ class Lowering:
                 fits = s.df.filter(column(high) >= column(low))
                 return self._bind(g.pattern, fits.withColumn(n, made), s, Col(F.col(n), n), {n}, covers=False)
             df = self.spark.range(low, high + (1 if step > 0 else -1), step).select(F.col("id").alias(n))
-            return self._bind(g.pattern, self._join(s, df), s, Col(F.col(n), n), {n})
+            whole = low == 0 and step == 1
+            return self._bind(g.pattern, self._join(s, df), s, Col(F.col(n), n), {n}, covers=whole, domains={n: high + 1} if whole else None)
+        if isinstance(domain, t.ListOf) and not domain.parts:
+            parts = g.pattern.parts if isinstance(g.pattern, t.PTuple) else (g.pattern,)
+            names = [self.new("c") for _ in parts]
+            df = self.spark.range(0).select(*[F.col("id").alias(n) for n in names])
+            value = tuple(Col(F.col(n), n) for n in names)
+            return self._bind(g.pattern, self._join(s, df), s, value[0] if len(value) == 1 else Tup(value), None, covers=False)
         inner = self.value(domain, replace(s, df=None) if isinstance(domain, (t.Comprehension, t.TensorOf)) else s)
         if isinstance(inner, Stored):
             inner = self._through(inner.name, 1, inner.args, inner.table)
@@ -169,7 +180,7 @@ class Lowering:
             v = self.new("v")
             df = (inner.all_cells() if g.full else inner.cells()).toDF(*names, v)
             index = [Col(F.col(n), n) for n in names]
-            return self._bind(g.pattern, self._join(s, df), s, Tup((index[0] if len(index) == 1 else Tup(tuple(index)), Col(F.col(v), v))), set(names), covers=g.full or not inner.is_sparse)
+            return self._bind(g.pattern, self._join(s, df), s, Tup((index[0] if len(index) == 1 else Tup(tuple(index)), Col(F.col(v), v))), set(names), covers=g.full or not inner.is_sparse, domains=dict(zip(names, inner.dims, strict=True)))
         if isinstance(inner, (list, tuple)):
             inner = self.listed(list(inner))
         elif isinstance(inner, dict):
@@ -178,7 +189,7 @@ class Lowering:
             names = [self.new("c") for _ in inner.columns]
             parts = tuple(Col(F.col(n), n) for n in names)
             value = parts[0] if len(parts) == 1 else Rec(dict(zip(inner.columns, parts, strict=True))) if isinstance(g.pattern, t.PVar) else Tup(parts)
-            return self._bind(g.pattern, self._join(s, inner.toDF(*names)), s, value, None)
+            return self._bind(g.pattern, self._join(s, inner.toDF(*names)), s, value, None, covers=False)
         if isinstance(inner, Bag):
             inner = inner.value
         if isinstance(inner, Col):
@@ -186,7 +197,7 @@ class Lowering:
             kind = self.kind(inner, s)
             if isinstance(kind, T.MapType):
                 k = self.new("k")
-                return self._bind(g.pattern, s.df.select("*", F.explode(inner.column).alias(k, n)), s, Tup((Col(F.col(k), k), Col(F.col(n), n))), None)
+                return self._bind(g.pattern, s.df.select("*", F.explode(inner.column).alias(k, n)), s, Tup((Col(F.col(k), k), Col(F.col(n), n))), None, covers=False)
             return self._bind(g.pattern, s.df.withColumn(n, F.explode(inner.column)), s, Col(F.col(n), n), None, covers=False)
         raise LoweringError(f"no generator over {type(inner).__name__}")
 
@@ -199,8 +210,8 @@ class Lowering:
     def _join(self, s: State, df: DataFrame) -> DataFrame:
         return df if s.df is None else s.df.crossJoin(df)
 
-    def _bind(self, p: t.Node, df: DataFrame, s: State, v: Any, key: set | None, covers: bool = True) -> State:
-        out = replace(s, df=df, key=s.key | key if s.key is not None and key is not None else None, covers=s.covers and covers)
+    def _bind(self, p: t.Node, df: DataFrame, s: State, v: Any, key: set | None, covers: bool = True, domains: dict | None = None) -> State:
+        out = replace(s, df=df, key=s.key | key if s.key is not None and key is not None else None, covers=s.covers and covers, domains={**s.domains, **(domains or {})})
         return replace(out, scope={**s.scope, **self.match(p, v, out)})
 
     def where(self, e: t.Node, s: State) -> State:
@@ -209,13 +220,16 @@ class Lowering:
             v = self.value(test, s)
             if v is True:
                 continue
+            covers = False
             if isinstance(test, t.Binary) and test.op == "==":
                 a, b = self.value(test.left, s), self.value(test.right, s)
                 if isinstance(a, Col) and isinstance(b, Col) and a.name and b.name and s.top(a.name) != s.top(b.name):
+                    # two free indexes of one size, made equal, still take every value
+                    covers = s.covers and s.domains.get(s.top(a.name), -1) == s.domains.get(s.top(b.name), -2)
                     s = replace(s, same={**s.same, s.top(b.name): s.top(a.name)})
             if s.df is None:
                 s = replace(s, df=self.spark.range(1).select(F.lit(0).alias(self.new("one"))))
-            s = replace(s, df=s.df.filter(column(v)), covers=False)
+            s = replace(s, df=s.df.filter(column(v)), covers=covers)
         return s
 
     # ---- grouping
@@ -299,7 +313,12 @@ class Lowering:
         else:  # a constant key: one group, or none
             some = self.new("n")
             df = s.df.agg(F.count(F.lit(1)).alias(some), *made.values()).filter(F.col(some) > 0)
-        out = State(df, scope, frozenset(names), {}, s.covers and single)
+        plain_key = self._plain(grouped)
+        free = {s.top(n) for n in self._plain(key)}
+        domains = {}
+        if len(free) == len(names) == len(plain_key):
+            domains = {k: s.domains[s.top(n)] for k, n in zip(names, self._plain(key), strict=True) if s.top(n) in s.domains}
+        out = State(df, scope, frozenset(names), {}, s.covers and len(domains) == len(names) > 0, domains)
         for name in wanted:
             n = f"_{name.replace('$', '_')}"
             out.scope[name] = Col(F.col(n), n)
@@ -444,20 +463,16 @@ class Lowering:
                 return s, value
             n = self.new("s")
             return replace(s, df=s.df.crossJoin(F.broadcast(value.toDF(n)))), Col(F.col(n), n)
+        if not self._tied(c, outer, known):
+            return self._beside(op, c, outer - known, s)
         inner, ties = [], []
         for q in c.quals:
             if not (t.free(q.test if isinstance(q, t.Where) else q.domain if isinstance(q, t.Generator) else q.value if isinstance(q, t.Let) else q.key) & (outer - known)):
                 inner.append(q)
                 continue
-            for test in conjuncts(q.test) if isinstance(q, t.Where) else [None]:
-                if not (isinstance(test, t.Binary) and test.op == "=="):
-                    raise LoweringError("a correlated reduction is tied to its row by equalities")
+            for test in conjuncts(q.test):
                 a, b = test.left, test.right
-                if t.free(a) & (outer - known):
-                    a, b = b, a
-                if t.free(a) & (outer - known) or t.free(b) & known:
-                    raise LoweringError("a correlated equality has the row on one side only")
-                ties.append((a, b))
+                ties.append((b, a) if t.free(a) & (outer - known) else (a, b))
         static = State(scope={n: v for n, v in s.scope.items() if not is_row(v)})
         state, head = self.comprehension(t.Comprehension(t.Tuple((t.Tuple(tuple(a for a, _ in ties)), c.head)), tuple(inner)), static)
         keys = [self.new("t") for _ in ties]
@@ -474,6 +489,52 @@ class Lowering:
         v = F.col(total) if empty is None or op == "++" else F.coalesce(F.col(total), F.lit(empty).cast(by.schema[total].dataType))
         return replace(s, df=s.df.join(by, on, "left")), Col(v)
 
+    def _tied(self, c: t.Comprehension, outer: set[str], known: set[str]) -> bool:
+        """Whether all that ties a comprehension to the row are equalities of something of its own and something of the row."""
+        for q in c.quals:
+            if isinstance(q, t.Where):
+                for test in conjuncts(q.test):
+                    if not t.free(test) & (outer - known):
+                        continue
+                    if not (isinstance(test, t.Binary) and test.op == "=="):
+                        return False
+                    sides = [bool(t.free(x) & (outer - known)) for x in (test.left, test.right)]
+                    if all(sides) or t.free(test.right if sides[1] else test.left) & known:
+                        return False
+            elif t.free(t.rebuild(q, lambda x: x)) & (outer - known) - set(t.bound(q.pattern)):
+                return False
+        return not t.free(c.head) & (outer - known)
+
+    def _beside(self, op: str, c: t.Comprehension, names: set[str], s: State) -> tuple[State, Any]:
+        """A reduction tied to the row in any way: computed for each distinct combination of what it takes from the row."""
+        used = sorted(n for n in t.free(c) & names if is_row(s.scope.get(n)))
+        keys = [self.new("o") for _ in used]
+        rows = s.df.select(*[column(s.scope[n]).alias(k) for n, k in zip(used, keys, strict=True)]).distinct()
+        own = {n: self._shaped(s.scope[n], F.col(k)) for n, k in zip(used, keys, strict=True)}
+        start = State(rows, {**{n: v for n, v in s.scope.items() if not is_row(v)}, **own}, None, {}, False)
+        state, head = self.comprehension(c, start=start)
+        total = self.new("s")
+        by = state.df.select(*keys, column(head).alias(total))
+        kind = by.schema[total].dataType
+        agg = F.count(F.lit(1)) if op == "length" else scalars.aggregate(op, F.col(total), kind, None if op in scalars.MONOIDS else self._function(op))
+        by = by.groupBy(*keys).agg(agg.alias(total))
+        renamed = [self.new("t") for _ in keys]
+        by = by.toDF(*renamed, total)
+        on = F.lit(True)
+        for n, k in zip(used, renamed, strict=True):
+            on = on & column(s.scope[n]).eqNullSafe(F.col(k))
+        empty = 0 if op == "length" else scalars.MONOIDS[op][2] if op in scalars.MONOIDS else None
+        v = F.col(total) if empty is None or op == "++" else F.coalesce(F.col(total), F.lit(empty).cast(by.schema[total].dataType))
+        return replace(s, df=s.df.join(by, on, "left")), Col(v)
+
+    def _shaped(self, v: Any, c: Column) -> Any:
+        """A row's value as parts of the column that holds it."""
+        if isinstance(v, Tup):
+            return Tup(tuple(self._shaped(p, c.getField(f"_{k + 1}")) for k, p in enumerate(v.parts)))
+        if isinstance(v, Rec):
+            return Rec({n: self._shaped(p, c.getField(n)) for n, p in v.parts.items()})
+        return Col(c)
+
     def reduced(self, r: t.Node, outer: State | None = None) -> Any:
         """A total reduction as a table of one row and column; a plain value where nothing is distributed."""
         op = r.op if isinstance(r, t.Reduce) else "length"
@@ -663,8 +724,8 @@ class Lowering:
         if e.name == "cache" and len(e.args) == 1:
             v = self.value(e.args[0], s)
             return v.persist() if isinstance(v, (Tensor, DataFrame)) else v
-        if e.name == "flatten":
-            return self.value(e.args[-1], s)
+        if e.name == "flatten" and "flatten" not in self.env:
+            return self._flat(self.value(e.args[-1], s), s)
         f = s.scope.get(e.name, self.env.get(e.name))
         if len(e.args) == 2 and isinstance(e.args[0], t.Lambda) and e.name in ("transform", "filter") and f is None:
             return self._higher(e, s)
@@ -672,7 +733,8 @@ class Lowering:
         if isinstance(f, Closure):
             return self.apply(f, args, s)
         if e.name == "random":
-            return Col(F.rand(42))
+            self.count = self.fresh.count = self.fresh.count + 1  # each call draws numbers of its own
+            return Col(F.rand(41 + self.count))
         if f is None:
             f = scalars.FUNCTIONS.get(e.name)
         if isinstance(f, Tensor) or f is None or not callable(f):
@@ -682,6 +744,20 @@ class Lowering:
             return Col(out) if isinstance(out, Column) else out
         return f(*args)
 
+    def _flat(self, v: Any, s: State) -> Any:
+        """An array of arrays as one array; of a table with arrays, one row for each of their elements, in the array's order."""
+        if isinstance(v, Tensor):
+            v = v.df.select("v")
+        if isinstance(v, DataFrame):
+            last = v.columns[-1]
+            return v.select(*v.columns[:-1], F.explode(last).alias(last))
+        if isinstance(v, (list, tuple)):
+            return [x for part in v for x in part]
+        kind = self.kind(v, s) if is_row(v) else None
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+            return Col(F.flatten(column(v)))
+        raise LoweringError("flatten takes arrays of arrays")
+
     def _higher(self, e: t.Call, s: State) -> Any:
         """transform{ v => [ ... | x <- v ] } array: a comprehension over one array column."""
         f, over = e.args[0], self.value(e.args[1], s)
@@ -714,6 +790,22 @@ class Lowering:
                 raise LoweringError("an array is read by a row's index in comprehensions only")
             row = v.df.filter(" and ".join(f"i{k} = {int(a)}" for k, a in enumerate(at))).select("v").first()
             return row[0] if row else None
+        if isinstance(v, DataFrame):
+            if any(map(is_row, at)):
+                raise LoweringError("a map is read by a row's key in comprehensions only")
+            row = v.filter(F.col(v.columns[0]) == column(at[0] if len(at) == 1 else Tup(tuple(at)))).select(v.columns[1]).first()
+            return row[0] if row else None
+        if isinstance(v, (dict, list, tuple)) and any(map(is_row, at)):
+            # a local map or list is a constant of the plan
+            if isinstance(v, dict):
+                made = F.map_from_entries(F.array(*[F.struct(column(k), column(x)) for k, x in v.items()]))
+                return Col(F.try_element_at(made, column(at[0])))
+            c = column(v)
+            for a in at:
+                c = F.get(c, column(a).cast("int"))
+            return Col(c)
+        if isinstance(v, dict):
+            return v.get(at[0] if len(at) == 1 else tuple(at))
         if is_row(v):
             c = column(v)
             if isinstance(self.kind(Col(c), s), T.MapType):
@@ -821,7 +913,9 @@ class Lowering:
             raise LoweringError(f"an index of {len(parts)} parts for {len(dims)} dimensions")
         unique = s.key is not None and {s.top(n) for n in s.key} <= {s.top(n) for p in parts for n in self._plain(p)}
         df = s.df.select(*[column(p).alias(f"i{k}") for k, p in enumerate(parts)], column(v).alias("v"))
-        return store(df, dims, dense, unique=unique, full=False)
+        tops = [s.top(p.name) if isinstance(p, Col) and p.name else None for p in parts]
+        full = unique and s.covers and len(set(tops)) == len(dims) and all(s.domains.get(n) == d for n, d in zip(tops, dims, strict=True))
+        return store(df, dims, dense, unique=unique, full=full)
 
     def _nested(self, e: t.TensorOf, dims: list, s: State) -> Any:
         """An array inside a value: dense of one dimension as an ARRAY, any other as an array of (index, value)."""

@@ -12,11 +12,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars
 from ..lang import tree as t
 from ..session import config, materialise
-from ..tensor import Tensor, merge, store
+from ..tensor import Tensor, merge, store, zero
 from .lower import STORAGES, Closure, Lowering, LoweringError, State, cast, coerce, column, is_row
 
 
@@ -159,6 +160,8 @@ class Program:
             self.loop(s.yes, [*quals, t.Where(s.test)])
             if s.no is not None:
                 self.loop(s.no, [*quals, t.Where(t.Unary("!", s.test))])
+        elif isinstance(s, (t.Update, t.Assign)) and isinstance(s.target, t.Part):
+            self.component(s.target, s.op if isinstance(s, t.Update) else None, s.value, quals)
         elif isinstance(s, t.Update):
             self.increment(s.target, s.op, s.value, quals)
         elif isinstance(s, t.Assign):
@@ -204,6 +207,40 @@ class Program:
             self.env[name] = merge(old, new_cells)
         self.settle(name, weight)
 
+    def component(self, target: t.Part, op: str | None, value: t.Node, quals: list[t.Node]) -> None:
+        """A[i]#k = e and A[i]#k op= e: one component of a tuple or record is replaced, or combined with the reduction of the new
+        values; the other components stay, or are zero where the array held nothing."""
+        element, path = _fields(target)
+        name, at = self._target(element, value, quals)
+        old: Tensor = self.env[name]
+        kind, names = old.kind, []
+        for k in path:
+            if not isinstance(kind, T.StructType):
+                raise LoopError(f"an element of {name} has no component {k}")
+            f = kind[k] if isinstance(k, str) else kind.fields[k - 1]
+            names.append(f.name)
+            kind = f.dataType
+        place = ".".join(names)
+        keys, v = [self.lower.fresh("k") for _ in at], self.lower.fresh("v")
+        pattern = t.PVar(keys[0]) if len(at) == 1 else t.PTuple(tuple(map(t.PVar, keys)))
+        key = at[0] if len(at) == 1 else t.Tuple(at)
+        if op is None:
+            body = t.Comprehension(t.Tuple((key, value)), tuple(quals))
+        else:
+            body = t.Comprehension(t.Tuple((t.as_expression(pattern), t.Reduce(op, t.Name(v)))), (*quals, t.Let(t.PVar(v), value), t.GroupBy(pattern, key)))
+        state, head = self.lower.comprehension(body)
+        new = self.lower.stored(state, head, old.dims, len(old.dims)).df.select(*old.index, F.col("v").alias("w"))
+        base = old if old.is_sparse or old.full else old.with_df(old.all_cells(), True)
+        fold = (lambda a, b: b) if op is None else scalars.MONOIDS[op][1] if op in scalars.MONOIDS else self.lower._function(op)
+        whole = F.coalesce("v", zero(old.kind))
+        part = whole
+        for n in names:
+            part = part.getField(n)
+        made = F.when(F.col("w").isNull(), F.col("v")).otherwise(whole.withField(place, fold(part, F.col("w")).cast(kind)))
+        both = base.df.join(new, old.index, "full_outer").select(*old.index, made.alias("v"))
+        self.env[name] = old.with_df(both, base.full)
+        self.settle(name, self.weight.get(name, 1) + self.weigh(value) + sum(map(self.weigh, quals)))
+
     def increment(self, target: t.Node, op: str, value: t.Node, quals: list[t.Node]) -> None:
         """A[i] op= e: reduced by index, then combined with the old elements; a scalar takes the total."""
         user = None if op in scalars.MONOIDS else self.lower._function(op)
@@ -230,10 +267,19 @@ class Program:
         self.settle(name, weight)
 
 
+def _fields(target: t.Node) -> tuple[t.Node, list]:
+    """The element that a path of parts begins at, and the path."""
+    path = []
+    while isinstance(target, t.Part):
+        path.insert(0, target.key)
+        target = target.of
+    return target, path
+
+
 def _body(s: t.Node) -> t.Node:
-    """The expression that a definition's statement stands for."""
-    if isinstance(s, t.Block) and len(s.parts) == 1:
-        return _body(s.parts[0])
+    """The expression that a definition's statement stands for: what is assigned is put in where it is read later."""
+    if isinstance(s, t.Block) and s.parts:
+        return _sequence(list(s.parts), {})
     if isinstance(s, (t.Do, t.Return)):
         return s.value
     if isinstance(s, t.IfDo) and s.no is not None:
@@ -241,10 +287,34 @@ def _body(s: t.Node) -> t.Node:
     raise LoweringError("a definition's body is one expression")
 
 
+def _sequence(parts: list[t.Node], known: dict[str, t.Node]) -> t.Node:
+    first, rest = parts[0], parts[1:]
+    if not rest or isinstance(first, t.Return):
+        return t.substitute(_body(first), known)
+    if isinstance(first, t.Var) and first.value is not None:
+        value = t.substitute(first.value, known)
+        return _sequence(rest, {**known, first.name: t.Cast(value, first.type) if first.type else value})
+    if isinstance(first, t.Assign) and isinstance(first.target, t.Name):
+        return _sequence(rest, {**known, first.target.name: t.substitute(first.value, known)})
+    if isinstance(first, t.Update) and isinstance(first.target, t.Name):
+        return _sequence(rest, {**known, first.target.name: t.substitute(t.Binary(first.op, first.target, first.value), known)})
+    if isinstance(first, t.IfDo):
+        test = t.substitute(first.test, known)
+        yes = _sequence([*_parts(first.yes), *rest], known)
+        return t.If(test, yes, _sequence([*(_parts(first.no) if first.no is not None else []), *rest], known))
+    raise LoweringError(f"{type(first).__name__} in a definition")
+
+
+def _parts(s: t.Node) -> list[t.Node]:
+    return list(s.parts) if isinstance(s, t.Block) else [s]
+
+
 def _assigned(s: Any) -> set[str]:
     out: set[str] = set()
     if isinstance(s, (t.Assign, t.Update)):
-        n = s.target.of if isinstance(s.target, t.Index) else s.target
+        n = s.target
+        while isinstance(n, (t.Index, t.Part)):
+            n = n.of
         if isinstance(n, t.Name):
             out.add(n.name)
     if isinstance(s, t.Var):

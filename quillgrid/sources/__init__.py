@@ -23,10 +23,10 @@ def coordinates(spark: SparkSession, path: str, dims: tuple[int, ...], *, separa
     return store(spark.read.csv(path, sep=separator, schema=f"{index}, v double"), dims, dense, unique=False)
 
 
-def vectors(df: DataFrame, key: str, column: str, dims: tuple[int, int]) -> Tensor:
-    """A dense matrix of a table with one array a row."""
+def vectors(df: DataFrame, key: str, column: str, dims: tuple[int, int], *, full: bool = False) -> Tensor:
+    """A dense matrix of a table with one array a row; ``full``: every row from 0 on is there once, with an array of full length."""
     cells = df.select(F.col(key).cast("bigint").alias("i0"), F.posexplode(column).alias("i1", "v"))
-    return store(cells.select("i0", F.col("i1").cast("bigint").alias("i1"), F.col("v").cast("double").alias("v")), dims, 2, unique=True, full=False)
+    return store(cells.select("i0", F.col("i1").cast("bigint").alias("i1"), F.col("v").cast("double").alias("v")), dims, 2, unique=True, full=full)
 
 
 __all__ = ["coordinates", "edges", "from_table", "table", "vectors"]
