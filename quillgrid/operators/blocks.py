@@ -1,14 +1,15 @@
-"""The blocked encoding of matrices, and products on it.
+"""The blocked encoding of dense matrices, and maps, reductions and products on it.
 
 A blocked matrix is a table (bi, bj, rows, cols, cells): ``cells`` is the block's
-row-major float64 array as bytes.  Blocks at the edges are smaller.  The encoding
-pays off for dense products, where a block product is one NumPy call; everything
-else stays on coordinates.
+row-major float64 array as bytes.  Blocks at the edges are smaller, and every block is
+there.  The encoding pays off for dense arrays, where a block's work is one NumPy call;
+sparse arrays stay on coordinates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import config
-from ..tensor import Tensor, store
+from ..tensor import Tensor, index_grid, store
 
 SCHEMA = "bi bigint, bj bigint, rows int, cols int, cells binary"
 NAMES = ["bi", "bj", "rows", "cols", "cells"]
+#: Partial results of so many places are kept by a task before they are sent on.
+HELD = 16
+#: Monoids that blocks are merged with.
+FOLDS = {"+": np.add, "*": np.multiply, "min": np.minimum, "max": np.maximum}
 
 
 @dataclass(frozen=True)
@@ -35,100 +40,221 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows, binary columns as views of the batch."""
+    columns = [c.to_pylist() if not pa.types.is_binary(c.type) else c for c in batch.columns]
+    for k in range(batch.num_rows):
+        yield tuple(c[k] if isinstance(c, list) else np.frombuffer(c[k].as_buffer()) if c[k].is_valid else None for c in columns)
+
+
 def pack(m: Tensor, size: int | None = None) -> Blocks:
     """A matrix in blocks: cells are dealt by block and put in place a group at a time."""
+    if m.blocks is not None and size in (None, m.blocks.size):
+        return m.blocks
     n = size or config.block_dim_size
     height, width = m.dims
+    spark = m.df.sparkSession
 
     def place(table: pa.Table) -> pa.Table:
         bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
         shape = (min(n, height - bi * n), min(n, width - bj * n))
         out = np.zeros(shape)
-        out[table["i0"].to_numpy() - bi * n, table["i1"].to_numpy() - bj * n] = table["v"].to_numpy()
+        cells = table.filter(table["i0"].is_valid())
+        out[cells["i0"].to_numpy() - bi * n, cells["i1"].to_numpy() - bj * n] = cells["v"].to_numpy()
         return pa.Table.from_batches([_record([(bi, bj, *shape, out.tobytes())])])
 
     keyed = m.df.select((F.call_function("div", F.col("i0"), F.lit(n))).alias("bi"), (F.call_function("div", F.col("i1"), F.lit(n))).alias("bj"), "i0", "i1", F.col("v").cast("double").alias("v"))
+    if not m.full:  # a block without cells is zero, but it is there
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("i0", "bigint"), ("i1", "bigint"), ("v", "double"))]
+        keyed = keyed.unionByName(index_grid(spark, (-(-height // n), -(-width // n))).select(F.col("i0").alias("bi"), F.col("i1").alias("bj"), *none))
     return Blocks(keyed.groupBy("bi", "bj").applyInArrow(place, SCHEMA), m.dims, n)
 
 
-def unpack(b: Blocks, *, dense: int = 2) -> Tensor:
-    """A blocked matrix as coordinates; no row is shuffled."""
+def of_arrays(df: DataFrame, key: str, column: str, dims: tuple[int, int], size: int | None = None) -> Blocks:
+    """A table with one array a row, in blocks: whole rows are dealt by their block row, and no cell is a row of its own."""
+    n = size or config.block_dim_size
+    height, width = dims
+
+    def place(table: pa.Table) -> Iterator[pa.Table]:
+        bi = table["bi"][0].as_py()
+        rows = min(n, height - bi * n)
+        out = np.zeros((rows, width))
+        kept = table.filter(table["i"].is_valid())
+        if kept.num_rows:
+            flat = kept["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            out[kept["i"].to_numpy() - bi * n] = flat.reshape(kept.num_rows, width)
+        made = [(bi, b, rows, min(n, width - b * n), np.ascontiguousarray(out[:, b * n : (b + 1) * n]).tobytes()) for b in range(-(-width // n))]
+        return pa.Table.from_batches([_record(made)])
+
+    i = F.col(key).cast("bigint")
+    keyed = df.select(F.call_function("div", i, F.lit(n)).alias("bi"), i.alias("i"), F.col(column).cast("array<double>").alias("v"))
+    every = index_grid(df.sparkSession, (-(-height // n),)).select(F.col("i0").alias("bi"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("array<double>").alias("v"))
+    return Blocks(keyed.unionByName(every).groupBy("bi").applyInArrow(place, SCHEMA), dims, n)
+
+
+def unpack(b: Blocks) -> Tensor:
+    """A blocked matrix as a dense array of coordinates; no row is shuffled."""
     n = b.size
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bi, bj, rows, cols, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                i, j = np.divmod(np.arange(rows * cols), cols)
-                yield pa.record_batch([pa.array(i + bi * n), pa.array(j + bj * n), pa.array(np.frombuffer(data))], names=["i0", "i1", "v"])
+            for bi, bj, rows, cols, data in _rows(batch):
+                step = max(1, (1 << 18) // cols)
+                for at in range(0, rows, step):
+                    part = data[at * cols : min(rows, at + step) * cols]
+                    i, j = np.divmod(np.arange(at * cols, at * cols + len(part)), cols)
+                    yield pa.record_batch([pa.array(i + bi * n), pa.array(j + bj * n), pa.array(part)], names=["i0", "i1", "v"])
+
+    made = store(b.df.select(*NAMES).mapInArrow(cells, "i0 bigint, i1 bigint, v double"), b.dims, 2, unique=True, full=True)
+    return made.with_blocks(b)
+
+
+def each(b: Blocks, f: Callable[[np.ndarray], np.ndarray], *, turned: bool = False) -> Blocks:
+    """``f`` of every block, ``turned``: of the transposed matrix; no block is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, rows, cols, data in _rows(batch):
+                x = data.reshape(rows, cols)
+                x = np.broadcast_to(np.asarray(f(x.T if turned else x), np.float64), (cols, rows) if turned else (rows, cols))
+                yield _record([(bj, bi, cols, rows, x.tobytes()) if turned else (bi, bj, rows, cols, x.tobytes())])
+
+    return Blocks(b.df.select(*NAMES).mapInArrow(run, SCHEMA), b.dims[::-1] if turned else b.dims, b.size)
 
-    return store(b.df.select(*NAMES).mapInArrow(cells, "i0 bigint, i1 bigint, v double"), b.dims, dense, unique=True)
+
+def transpose(b: Blocks) -> Blocks:
+    return each(b, lambda x: x, turned=True)
+
+
+def together(a: Blocks, b: Blocks, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Blocks:
+    """``f`` of the blocks of one place of two matrices of one shape."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, rows, cols, x, y in _rows(batch):
+                z = np.broadcast_to(np.asarray(f(x.reshape(rows, cols), y.reshape(rows, cols)), np.float64), (rows, cols))
+                yield _record([(bi, bj, rows, cols, z.tobytes())])
+
+    met = a.df.join(b.df.select("bi", "bj", F.col("cells").alias("cells2")), ["bi", "bj"]).select(*NAMES, "cells2")
+    return Blocks(met.mapInArrow(run, SCHEMA), a.dims, a.size)
 
 
 def add(a: Blocks, b: Blocks) -> Blocks:
-    """Cell by cell: blocks meet by their place, and a block that one side lacks is zero."""
-    left, right = a.df, b.df.toDF("bi", "bj", "rows2", "cols2", "cells2")
+    return together(a, b, np.add)
+
+
+def along(b: Blocks, op: str, axis: int, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(i0, v): the reduction of ``f`` of each row (axis 0: the index that stays) or column, partial by block, then by index."""
+    n, fold = b.size, FOLDS[op]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, rows, cols, data in _rows(batch):
+                x = np.broadcast_to(np.asarray(f(data.reshape(rows, cols)), np.float64), (rows, cols))
+                v = fold.reduce(x, axis=1 - axis)
+                yield pa.record_batch([pa.array(np.arange(len(v)) + (bi, bj)[axis] * n), pa.array(v)], names=["i0", "v"])
+
+    merged = {"+": F.sum, "*": F.product, "min": F.min, "max": F.max}[op]
+    return b.df.select(*NAMES).mapInArrow(run, "i0 bigint, v double").groupBy("i0").agg(merged("v").alias("v"))
+
+
+# ---------------------------------------------------------------- products
+
+
+def _kernel(op: str, f: Callable | None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What two blocks give: the matrix product (``f`` None), or the reduction along the inner index of ``f``, some of it at a time."""
+    if f is None:
+        return np.matmul
+    fold = FOLDS[op]
+
+    def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        step = max(1, (1 << 22) // max(1, x.shape[0] * y.shape[1]))
+        out = None
+        for k in range(0, x.shape[1], step):
+            part = fold.reduce(np.broadcast_to(f(x[:, k : k + step, None], y[None, k : k + step, :]), (x.shape[0], min(step, x.shape[1] - k), y.shape[1])), axis=1)
+            out = part if out is None else fold(out, part)
+        return out
+
+    return run
+
+
+def _partial(kernel: Callable, fold: np.ufunc, held: int):
+    """(bi, bj, rows, inner, cols, x, y): products, those of one place merged while the task holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for bi, bj, r, k, c, x, y in _rows(batch):
+                p = kernel(x.reshape(r, k), y.reshape(k, c))
+                if (bi, bj) in kept:
+                    fold(kept[bi, bj], p, out=kept[bi, bj])
+                    continue
+                if len(kept) == held:
+                    place, total = kept.popitem()
+                    yield _record([(*place, *total.shape, total.tobytes())])
+                kept[bi, bj] = np.array(p)
+        for place, total in kept.items():
+            yield _record([(*place, *total.shape, total.tobytes())])
+
+    return run
+
+
+def _merged(fold: np.ufunc):
+    """Blocks in order of place: those of one place as one, a block at a time."""
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = None, None
         for batch in batches:
-            out = []
-            for bi, bj, r, c, x, r2, c2, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                cells = np.frombuffer(x) + np.frombuffer(y) if x is not None and y is not None else np.frombuffer(x if x is not None else y)
-                out.append((bi, bj, r or r2, c or c2, cells.tobytes()))
-            yield _record(out)
-
-    met = left.join(right, ["bi", "bj"], "full_outer").select(*NAMES, "rows2", "cols2", "cells2")
-    return Blocks(met.mapInArrow(total, SCHEMA), a.dims, a.size)
-
-
-def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bi, bj, rows, inner, cols, x, y): a partial product for each row, those of one place summed while they are neighbours."""
-    place, total = None, None
-    for batch in batches:
-        for bi, bj, r, k, c, x, y in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            p = np.frombuffer(x).reshape(r, k) @ np.frombuffer(y).reshape(k, c)
-            if (bi, bj) == place:
-                total += p
-            else:
+            for bi, bj, r, c, x in _rows(batch):
+                if (bi, bj) == place:
+                    fold(total, x.reshape(r, c), out=total)
+                    continue
                 if place is not None:
                     yield _record([(*place, *total.shape, total.tobytes())])
-                place, total = (bi, bj), p
-    if place is not None:
-        yield _record([(*place, *total.shape, total.tobytes())])
+                place, total = (bi, bj), np.array(x.reshape(r, c))
+        if place is not None:
+            yield _record([(*place, *total.shape, total.tobytes())])
 
+    return run
 
-def _summed(table: pa.Table) -> pa.Table:
-    r, c = table["rows"][0].as_py(), table["cols"][0].as_py()
-    total = np.zeros(r * c)
-    for x in table["cells"]:
-        total += np.frombuffer(x.as_py())
-    return pa.Table.from_batches([_record([(table["bi"][0].as_py(), table["bj"][0].as_py(), r, c, total.tobytes())])])
 
+def multiply(a: Blocks, b: Blocks, op: str = "+", f: Callable | None = None) -> Blocks:
+    """The product of two matrices, or of another reduction and function of two cells.
 
-def multiply(a: Blocks, b: Blocks) -> Blocks:
-    """Matrix product: ``config.group_by_join`` chooses the grid strategy, else join and aggregate."""
+    ``config.group_by_join`` chooses the grid strategy, else blocks are joined on the inner coordinate.
+    """
     if a.dims[1] != b.dims[0] or a.size != b.size:
         raise ValueError("the operands' shapes or block sizes do not fit")
-    return _multiply_on_grid(a, b) if config.group_by_join else _multiply_by_join(a, b)
+    return (_multiply_on_grid if config.group_by_join else _multiply_by_join)(a, b, _kernel(op, f), FOLDS[op])
 
 
-def _multiply_by_join(a: Blocks, b: Blocks) -> Blocks:
-    """Blocks meet on the inner coordinate; partial products of a place are summed after a shuffle."""
+def _multiply_by_join(a: Blocks, b: Blocks, kernel: Callable, fold: np.ufunc) -> Blocks:
+    """Blocks meet on the inner coordinate; products of a place are merged in the task, then after a shuffle."""
     left = a.df.select("bi", F.col("bj").alias("k"), "rows", F.col("cols").alias("inner"), F.col("cells").alias("x"))
     right = b.df.select(F.col("bi").alias("k"), "bj", "cols", F.col("cells").alias("y"))
-    if a.dims[0] * a.dims[1] <= config.broadcast_rows:  # the size is known from the shape
+    if config.use_map_join and a.dims[0] * a.dims[1] <= config.broadcast_rows:  # the size is known from the shape
         left = F.broadcast(left)
-    elif b.dims[0] * b.dims[1] <= config.broadcast_rows:
+    elif config.use_map_join and b.dims[0] * b.dims[1] <= config.broadcast_rows:
         right = F.broadcast(right)
     met = left.join(right, "k").select("bi", "bj", "rows", "inner", "cols", "x", "y")
-    return Blocks(met.mapInArrow(_product, SCHEMA).groupBy("bi", "bj").applyInArrow(_summed, SCHEMA), (a.dims[0], b.dims[1]), a.size)
-
-
-def _multiply_on_grid(a: Blocks, b: Blocks) -> Blocks:
-    """Each row of blocks of ``a`` goes to all result columns and each column of ``b`` to all rows, so a place has its operands in one task, a pair at a time."""
-    rows, cols = -(-a.dims[0] // a.size), -(-b.dims[1] // a.size)
-    left = a.df.select("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cols - 1).cast("bigint"))).alias("bj"), F.col("bj").alias("k"), "rows", F.col("cols").alias("inner"), F.col("cells").alias("x"))
-    right = b.df.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("bi"), "bj", F.col("bi").alias("k"), "cols", F.col("cells").alias("y"))
-    parts = config.number_of_partitions or int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(parts, "bi", "bj"), right.repartition(parts, "bi", "bj")
-    met = left.join(right.hint("merge"), ["bi", "bj", "k"]).sortWithinPartitions("bi", "bj").select("bi", "bj", "rows", "inner", "cols", "x", "y")
-    return Blocks(met.mapInArrow(_product, SCHEMA).groupBy("bi", "bj").applyInArrow(_summed, SCHEMA), (a.dims[0], b.dims[1]), a.size)
+    parts = _parts(a.df)
+    dealt = met.mapInArrow(_partial(kernel, fold, HELD), SCHEMA).repartition(parts, "bi", "bj").sortWithinPartitions("bi", "bj")
+    return Blocks(dealt.mapInArrow(_merged(fold), SCHEMA), (a.dims[0], b.dims[1]), a.size)
+
+
+def _parts(df: DataFrame) -> int:
+    return config.number_of_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _multiply_on_grid(a: Blocks, b: Blocks, kernel: Callable, fold: np.ufunc) -> Blocks:
+    """Tasks form a grid whose side is the root of their number.  A block of ``a`` goes to the cells of one row of the grid,
+    one of ``b`` to those of one column, so each travels side times; the products of a cell's places are merged where they
+    are made, and what is left of them after a shuffle."""
+    parts = _parts(a.df)
+    side = max(1, math.isqrt(parts))
+    every = lambda n: F.explode(F.array(*[F.lit(x) for x in range(side)])).alias(n)
+    left = a.df.select((F.col("bi") % side).cast("int").alias("r"), every("c"), "bi", F.col("bj").alias("k"), "rows", F.col("cols").alias("inner"), F.col("cells").alias("x"))
+    right = b.df.select(every("r"), (F.col("bj") % side).cast("int").alias("c"), "bj", F.col("bi").alias("k"), "cols", F.col("cells").alias("y"))
+    met = left.join(right.hint("merge"), ["r", "c", "k"]).select("bi", "bj", "rows", "inner", "cols", "x", "y")
+    dealt = met.mapInArrow(_partial(kernel, fold, HELD), SCHEMA).repartition(parts, "bi", "bj").sortWithinPartitions("bi", "bj")
+    return Blocks(dealt.mapInArrow(_merged(fold), SCHEMA), (a.dims[0], b.dims[1]), a.size)

@@ -3,7 +3,7 @@
 Arrays: QTY = supplier x part -> total quantity (sparse), ORD = customer -> total
 of orders in cents (sparse), ACCT = customer -> balance in cents (dense),
 EVT = user x hour -> number of events (sparse), EMB = vector x dimension (dense),
-G = edges of customers and suppliers. Values are whole numbers where sums are compared.
+G = edges from customers to suppliers, of which a node may be both. Values are whole numbers where sums are compared.
 """
 
 from __future__ import annotations
@@ -25,10 +25,17 @@ _QTY = "qty AS (SELECT CAST(l_suppkey AS BIGINT) i, CAST(l_partkey AS BIGINT) j,
 _ORD = "ord AS (SELECT CAST(o_custkey AS BIGINT) i, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) v FROM orders GROUP BY 1)"
 _ACCT = "acct AS (SELECT CAST(c_custkey AS BIGINT) i, CAST(round(c_acctbal * 100) AS BIGINT) v FROM customer)"
 _EVT = "evt AS (SELECT CAST(user_id AS BIGINT) i, CAST(hour(ts) AS BIGINT) j, count(*) v FROM events GROUP BY 1, 2)"
-_G = "g AS (SELECT DISTINCT o_custkey % 100 src, l_suppkey % 100 dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48)"
+_G = "g AS (SELECT DISTINCT o_custkey src, l_suppkey dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 48)"
 _GRID = "grid AS (SELECT u.i, h.j FROM (SELECT range AS i FROM range(0, (SELECT max(user_id) + 1 FROM events))) u, (SELECT range AS j FROM range(0, 24)) h)"
 
 
+def _whole(df: DataFrame, key: str, column: str | None = None, size: int = 0) -> tuple[int, bool]:
+    """The length of an array of a table's rows, and whether it has one row (with ``size`` values) for every index."""
+    fits = F.bool_and(F.col(key).isNotNull() & (F.col(key) >= 0) & (F.size(column) == size if column else F.lit(True)))
+    n, rows, keys, good = df.agg(F.coalesce(F.max(key), F.lit(-1)) + 1, F.count(F.lit(1)), F.count_distinct(key), fits).first()
+    return n, bool(good) and n == rows == keys
+
+
 def _size(df: DataFrame, key: str) -> int:
     return (df.agg(F.max(key)).first()[0] or 0) + 1
 
@@ -45,7 +52,9 @@ def ord_(spark: SparkSession, d: str) -> Tensor:
 
 def acct(spark: SparkSession, d: str) -> Tensor:
     df = table(spark, d, "customer")
-    return from_table(df, ["c_custkey"], F.round(F.col("c_acctbal") * 100).cast("bigint"), (_size(df, "c_custkey"),), dense=1, combine="max")
+    n, whole = _whole(df, "c_custkey")
+    t = from_table(df, ["c_custkey"], F.round(F.col("c_acctbal") * 100).cast("bigint"), (n,), dense=1, combine=None if whole else "max", unique=whole)
+    return t.with_df(t.df, whole)
 
 
 def evt(spark: SparkSession, d: str) -> Tensor:
@@ -55,12 +64,17 @@ def evt(spark: SparkSession, d: str) -> Tensor:
 
 def emb(spark: SparkSession, d: str) -> Tensor:
     df = table(spark, d, "embeddings")
-    return vectors(df, "vec_id", "embedding", (_size(df, "vec_id"), 64))
+    n, whole = _whole(df, "vec_id", "embedding", 64)
+    return vectors(df, "vec_id", "embedding", (n, 64), full=whole)
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem").filter("l_quantity >= 48")
-    return o.join(line, o["o_orderkey"] == line["l_orderkey"]).select((F.col("o_custkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst")).distinct()
+    return o.join(line, o["o_orderkey"] == line["l_orderkey"]).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+def nodes(spark: SparkSession, d: str) -> int:
+    return max(_size(table(spark, d, "customer"), "c_custkey"), _size(table(spark, d, "supplier"), "s_suppkey"))
 
 
 def _rows(t: Tensor, *names: str) -> DataFrame:
@@ -94,15 +108,16 @@ def minplus_matmul(spark, d):
 
 
 @query(
-    f"WITH {_EVT}, ab AS (SELECT x.i, y.i AS j, sum(x.v * y.v) v FROM evt x JOIN evt y ON x.j = y.j WHERE x.i < 40 AND y.i < 40 GROUP BY 1, 2) "
-    "SELECT a.i, e.j, CAST(sum(a.v * e.v) AS BIGINT) AS v FROM ab a JOIN evt e ON a.j = e.i GROUP BY 1, 2"
+    f"WITH {_EVT}, g AS (SELECT x.j, y.j AS l, sum(x.v * y.v) v FROM evt x JOIN evt y ON x.i = y.i GROUP BY 1, 2) "
+    "SELECT e.i, g.l AS j, CAST(sum(e.v * g.v) AS BIGINT) AS v FROM evt e JOIN g ON e.j = g.j GROUP BY 1, 2"
 )
 def chain_matmul(spark, d):
+    """E (Et E): the chain is bracketed so that what is in between is as small as the hours."""
     e = evt(spark, d)
     return _rows(
         q(
-            """var AB = tensor*()(n,n)[ ((i,j),+/v) | ((i,k),a) <- E, ((j,kk),b) <- E, kk == k, i < 40, j < 40, let v = a*b, group by (i,j) ];
-               tensor*()(n,24)[ ((i,l),+/v) | ((i,j),a) <- AB, ((jj,l),b) <- E, jj == j, let v = a*b, group by (i,l) ];""",
+            """var G = tensor*()(24,24)[ ((j,l),+/v) | ((i,j),a) <- E, ((ii,l),b) <- E, ii == i, let v = a*b, group by (j,l) ];
+               tensor*()(n,24)[ ((i,l),+/v) | ((i,j),a) <- E, ((jj,l),g) <- G, jj == j, let v = a*g, group by (i,l) ];""",
             E=e,
             n=e.dims[0],
             spark=spark,
@@ -111,15 +126,13 @@ def chain_matmul(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 k, CAST(unnest(embedding) AS DOUBLE) v FROM embeddings WHERE vec_id < 100) "
+    "WITH e AS (SELECT vec_id i, generate_subscripts(embedding, 1) - 1 k, CAST(unnest(embedding) AS DOUBLE) v FROM embeddings) "
     "SELECT CAST(x.i AS BIGINT) AS i, CAST(y.i AS BIGINT) AS j, round(sum(x.v * y.v), 6) + 0.0 AS v FROM e x JOIN e y ON x.k = y.k GROUP BY 1, 2"
 )
 def dense_gram(spark, d):
-    """The blocked product of the first hundred vectors with their transpose."""
+    """The product of all vectors with their transpose, block by block."""
     e = emb(spark, d)
-    a = q("tensor*(100,64)[ ((i,k),v) | ((i,k),v) <- E, i < 100 ]", E=e, spark=spark)
-    t = q("tensor*(64,100)[ ((k,i),v) | ((i,k),v) <- E, i < 100 ]", E=e, spark=spark)
-    c = blocks.unpack(blocks.multiply(blocks.pack(a, 64), blocks.pack(t, 64)))
+    c = q("tensor*(n,n)[ ((i,j),+/p) | ((i,k),a) <- E, ((j,kk),b) <- E, kk == k, let p = a*b, group by (i,j) ]", E=e, n=e.dims[0], spark=spark)
     return c.df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
@@ -211,19 +224,15 @@ def mask_predicate(spark, d):
 
 @query(
     f"WITH {_EVT}, {_GRID}, dense AS (SELECT grid.i, grid.j, coalesce(v, 0) v FROM grid LEFT JOIN evt ON evt.i = grid.i AND evt.j = grid.j), "
-    "o AS (SELECT range - 1 AS k FROM range(0, 3)) SELECT d.i + a.k AS i, d.j + b.k AS j, CAST(sum(d.v) AS DOUBLE) / count(*) AS v "
-    "FROM dense d, o a, o b WHERE d.i + a.k BETWEEN 0 AND (SELECT max(user_id) FROM events) AND d.j + b.k BETWEEN 0 AND 23 GROUP BY 1, 2"
+    "o(a, b) AS (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) SELECT d.i + o.a AS i, d.j + o.b AS j, CAST(sum(d.v) AS DOUBLE) / count(*) AS v "
+    "FROM dense d, o WHERE d.i + o.a BETWEEN 0 AND (SELECT max(user_id) FROM events) AND d.j + o.b BETWEEN 0 AND 23 GROUP BY 1, 2"
 )
 def stencil_mean(spark, d):
+    """Each cell's mean with its four neighbours: a cell is sent to the five places that it counts for."""
     e = evt(spark, d)
+    cross = spark.createDataFrame([(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)], "a long, b long")
     return _rows(
-        q(
-            """tensor*(n,24)[ ((ii,jj),(+/a).toDouble/a.length) | ((i,j),a) <= E, di <- (-1)..1, dj <- (-1)..1,
-                                                       let ii = i+di, let jj = j+dj, group by (ii,jj) ]""",
-            E=e,
-            n=e.dims[0],
-            spark=spark,
-        )
+        q("tensor*(n,24)[ (at,(+/w)/w.length) | ((user,hour),c) <= E, (a,b) <- cross, let w = c.toDouble, group by at: (user+a,hour+b) ]", E=e, cross=cross, n=e.dims[0], spark=spark)
     )
 
 
@@ -291,11 +300,13 @@ def nested_collect(spark, d):
     return q("[ <i=i,hours=sort(j),v=+/v> | ((i,j),v) <- E, group by i ]", E=evt(spark, d), spark=spark)
 
 
-@query(f"WITH {_EVT} SELECT e.i, list(coalesce(x.v, 0)::BIGINT ORDER BY h.j) AS v FROM (SELECT DISTINCT i FROM evt) e CROSS JOIN (SELECT range AS j FROM range(0, 24)) h LEFT JOIN evt x ON x.i = e.i AND x.j = h.j GROUP BY 1")
+@query(
+    f"WITH {_EVT} SELECT e.i, list(coalesce(x.v, 0)::BIGINT ORDER BY h.j) AS late FROM (SELECT DISTINCT i FROM evt WHERE j >= 12) e CROSS JOIN (SELECT range AS j FROM range(12, 24)) h "
+    "LEFT JOIN evt x ON x.i = e.i AND x.j = h.j GROUP BY 1"
+)
 def nested_tensor(spark, d):
-    """Arrays as elements: each user's hours as a dense vector."""
-    e = evt(spark, d)
-    return _rows(q("tensor*()(n)[ (i,tensor(24) w) | ((i,j),m) <- E, let w = (j,m), group by i ]", E=e, n=e.dims[0], spark=spark))
+    """Arrays as elements: the afternoon's hours of each user as a dense vector."""
+    return q("[ <i=user,late=tensor(12) cells> | ((user,hour),c) <- E, hour >= 12, let cells = (hour-12,c), group by user ]", E=evt(spark, d), spark=spark)
 
 
 @query(f"WITH {_EVT} SELECT i, CAST(min(least(v, 7)) AS BIGINT) AS v FROM evt GROUP BY 1")
@@ -384,7 +395,7 @@ def scalar_increment(spark, d):
 
 @query(f"WITH {_G} SELECT CAST(src AS BIGINT) AS i, count(*) AS v FROM g GROUP BY 1")
 def out_degree(spark, d):
-    return _rows(q("tensor*()(100)[ (i,j.length) | (i,j) <- G, group by i ]", G=graph(spark, d), spark=spark))
+    return _rows(q("tensor*()(n)[ (i,j.length) | (i,j) <- G, group by i ]", G=graph(spark, d), n=nodes(spark, d), spark=spark))
 
 
 @query(f"WITH {_G} SELECT CAST(src AS BIGINT) AS i, list_sort(list(CAST(dst AS BIGINT))) AS v FROM g GROUP BY 1")
@@ -393,31 +404,42 @@ def adjacency(spark, d):
     return q("[ <i=i,v=sort(j)> | (i,j) <- G, group by i ]", G=graph(spark, d), spark=spark)
 
 
-_PR = ["p0 AS (SELECT range AS i, 0.01 AS v FROM range(0, 100))"] + [
-    f"p{k} AS (SELECT n.range AS i, 0.15 / 100 + 0.85 * coalesce(s.v, 0) AS v FROM range(0, 100) n LEFT JOIN (SELECT e.dst AS i, sum(e.w * p.v) v FROM e JOIN p{k - 1} p ON p.i = e.src GROUP BY 1) s ON s.i = n.range)"
+_N = "nn AS (SELECT greatest((SELECT max(c_custkey) FROM customer), (SELECT max(s_suppkey) FROM supplier)) + 1 AS n), nodes AS (SELECT unnest(range(0, (SELECT n FROM nn))) AS i)"
+_PR = ["p0 AS (SELECT i, 1.0::DOUBLE / (SELECT n FROM nn) AS v FROM nodes)"] + [
+    f"p{k} AS (SELECT n.i, 0.15::DOUBLE / (SELECT n FROM nn) + 0.85 * coalesce(s.v, 0) AS v FROM nodes n LEFT JOIN (SELECT e.dst AS i, sum(e.w * p.v) v FROM e JOIN p{k - 1} p ON p.i = e.src GROUP BY 1) s ON s.i = n.i)"
     for k in (1, 2, 3)
 ]
+_RANKS = f"WITH {_G}, {_N}, c AS (SELECT src, count(*) n FROM g GROUP BY 1), e AS (SELECT g.src, g.dst, 1.0::DOUBLE / n AS w FROM g JOIN c ON c.src = g.src), {', '.join(_PR)} SELECT i, round(v, 12) AS v FROM p3"
 
 
-@query(f"WITH {_G}, c AS (SELECT src, count(*) n FROM g GROUP BY 1), e AS (SELECT g.src, g.dst, 1.0::DOUBLE / n AS w FROM g JOIN c ON c.src = g.src), {', '.join(_PR)} SELECT i, round(v, 9) AS v FROM p3")
+@query(_RANKS)
 def pagerank_3(spark, d):
-    p = algorithms.pagerank(graph(spark, d), 100, rounds=3, spark=spark)
-    return p.df.select(F.col("i0").alias("i"), F.round("v", 9).alias("v"))
+    p = algorithms.pagerank(graph(spark, d), nodes(spark, d), rounds=3, spark=spark)
+    return p.df.select(F.col("i0").alias("i"), F.round("v", 12).alias("v"))
+
+
+@query(_RANKS)
+def pagerank_lists(spark, d):
+    p = algorithms.pagerank_of_lists(graph(spark, d), nodes(spark, d), rounds=3, spark=spark)
+    return p.df.select(F.col("i0").alias("i"), F.round("v", 12).alias("v"))
 
 
 _XY = (
     "e AS (SELECT vec_id i, generate_subscripts(embedding, 1) j, CAST(unnest(embedding) AS DOUBLE) v FROM embeddings), "
-    "x AS (SELECT i, j, v FROM e WHERE j <= 8 UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings), y AS (SELECT vec_id i, CAST(label % 2 AS DOUBLE) v FROM embeddings)"
+    "x AS (SELECT i, j, v FROM e UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings), y AS (SELECT vec_id i, CAST(label % 2 AS DOUBLE) v FROM embeddings)"
 )
 
 
 def _features(spark, d):
+    """All dimensions of the vectors behind a constant, and the labels, as matrices."""
     df = table(spark, d, "embeddings")
-    n = _size(df, "vec_id")
-    x = q("tensor*(n,9)[ ((i,j+1),v) | ((i,j),v) <- E, j < 8 ]", E=emb(spark, d), n=n, spark=spark)
-    ones = q("tensor*(n,9)[ ((i,0),1.0) | i <- 0..n-1 ]", n=n, spark=spark)
-    both = x.with_df(x.df.unionByName(ones.df))
-    return both, from_table(df, ["vec_id"], (F.col("label") % 2).cast("double"), (n,), dense=1, combine="max")
+    n, whole = _whole(df, "vec_id", "embedding", 64)
+    x = df.select("vec_id", F.concat(F.array(F.lit(1.0)), F.col("embedding").cast("array<double>")).alias("x"))
+    return vectors(x, "vec_id", "x", (n, 65), full=whole), vectors(df.select("vec_id", F.array((F.col("label") % 2).cast("double")).alias("y")), "vec_id", "y", (n, 1), full=whole)
+
+
+def _weights(spark, n, m):
+    return q("tensor*(n,m)[ ((i,j),((i*7+j*3)%10)/10.0-0.5) | i <- 0..n-1, j <- 0..m-1 ]", n=n, m=m, spark=spark)
 
 
 @query(
@@ -426,36 +448,73 @@ def _features(spark, d):
 )
 def linreg_step(spark, d):
     x, y = _features(spark, d)
-    theta = q("tensor*(9)[ (j,((j*3)%10)/10.0) | j <- 0..8 ]", spark=spark)
+    theta = q("tensor*(65,1)[ ((j,k),((j*3)%10)/10.0) | j <- 0..64, k <- 0..0 ]", spark=spark)
     t = algorithms.regression_step(x, y, theta, rate=0.1, spark=spark)
     return t.df.select(F.col("i0").alias("i"), F.round("v", 9).alias("v"))
 
 
+_W = "w{k} AS (SELECT a.range i, b.range j, ((a.range * 7 + b.range * 3) % 10) / 10.0 - 0.5 v FROM range(0, {n}) a, range(0, {m}) b)"
+
+
 @query(
-    f"WITH {_XY}, w1 AS (SELECT a.range i, b.range j, ((a.range * 7 + b.range * 3) % 10) / 10.0 - 0.5 v FROM range(0, 9) a, range(0, 4) b), "
-    "w2 AS (SELECT range i, ((range * 7) % 10) / 10.0 - 0.5 v FROM range(0, 4)), "
+    f"WITH {_XY}, {_W.format(k=1, n=65, m=4)}, {_W.format(k=2, n=4, m=1)}, "
     "h AS (SELECT x.i, w1.j, greatest(sum(x.v * w1.v), 0.0) v FROM x JOIN w1 ON w1.i = x.j GROUP BY 1, 2) "
     "SELECT CAST(h.i AS BIGINT) AS i, round(1.0 / (1.0 + exp(-sum(h.v * w2.v))), 9) AS v FROM h JOIN w2 ON w2.i = h.j GROUP BY 1"
 )
 def nn_forward(spark, d):
     x, _ = _features(spark, d)
-    w1 = q("tensor*(9,4)[ ((i,j),((i*7+j*3)%10)/10.0-0.5) | i <- 0..8, j <- 0..3 ]", spark=spark)
-    w2 = q("tensor*(4,1)[ ((i,j),((i*7+j*3)%10)/10.0-0.5) | i <- 0..3, j <- 0..0 ]", spark=spark)
-    out = algorithms.forward(x, [w1, w2], spark=spark)
+    out = algorithms.forward(x, [_weights(spark, 65, 4), _weights(spark, 4, 1)], spark=spark)
     return out.df.select(F.col("i0").alias("i"), F.round("v", 9).alias("v"))
 
 
 @query(
-    f"WITH {_EVT}, r AS (SELECT i, j, CAST(v AS DOUBLE) v FROM evt WHERE i < 50), k AS (SELECT range k FROM range(0, 3)), "
-    "p AS (SELECT a.range i, k, ((a.range * 7 + k * 3) % 10) / 10.0 v FROM range(0, 50) a, k), f AS (SELECT k, b.range j, ((k * 7 + b.range * 3) % 10) / 10.0 v FROM range(0, 24) b, k), "
+    f"WITH {_XY}, {_W.format(k=1, n=65, m=4)}, {_W.format(k=2, n=4, m=3)}, {_W.format(k=3, n=3, m=1)}, "
+    "h1 AS (SELECT x.i, w1.j, greatest(sum(x.v * w1.v), 0.0) v FROM x JOIN w1 ON w1.i = x.j GROUP BY 1, 2), "
+    "h2 AS (SELECT h1.i, w2.j, greatest(sum(h1.v * w2.v), 0.0) v FROM h1 JOIN w2 ON w2.i = h1.j GROUP BY 1, 2), "
+    "e3 AS (SELECT h2.i, 1.0 / (1.0 + exp(-sum(h2.v * w3.v))) - any_value(y.v) v FROM h2 JOIN w3 ON w3.i = h2.j JOIN y ON y.i = h2.i GROUP BY 1), "
+    "e2 AS (SELECT h2.i, h2.j, CASE WHEN h2.v > 0 THEN e3.v * w3.v ELSE 0 END v FROM h2 JOIN e3 ON e3.i = h2.i JOIN w3 ON w3.i = h2.j), "
+    "b1 AS (SELECT e2.i, w2.i j, sum(e2.v * w2.v) v FROM e2 JOIN w2 ON w2.j = e2.j GROUP BY 1, 2), "
+    "e1 AS (SELECT b1.i, b1.j, CASE WHEN h1.v > 0 THEN b1.v ELSE 0 END v FROM b1 JOIN h1 ON h1.i = b1.i AND h1.j = b1.j), "
+    "g AS (SELECT 1 layer, x.j i, e1.j, sum(x.v * e1.v) v FROM x JOIN e1 ON e1.i = x.i GROUP BY ALL "
+    "UNION ALL SELECT 2, h1.j, e2.j, sum(h1.v * e2.v) FROM h1 JOIN e2 ON e2.i = h1.i GROUP BY ALL UNION ALL SELECT 3, h2.j, 0, sum(h2.v * e3.v) FROM h2 JOIN e3 ON e3.i = h2.i GROUP BY ALL), "
+    "w AS (SELECT 1 layer, * FROM w1 UNION ALL SELECT 2, * FROM w2 UNION ALL SELECT 3, * FROM w3) "
+    "SELECT w.layer, CAST(w.i AS BIGINT) AS i, CAST(w.j AS BIGINT) AS j, round(w.v - 0.1 * g.v / (SELECT count(*) FROM embeddings), 9) + 0.0 AS v FROM w JOIN g ON g.layer = w.layer AND g.i = w.i AND g.j = w.j"
+)
+def nn_train_step(spark, d):
+    """Forward and backward through three layers: the weights after one step."""
+    x, y = _features(spark, d)
+    new = algorithms.train_step(x, y, [_weights(spark, 65, 4), _weights(spark, 4, 3), _weights(spark, 3, 1)], rate=0.1, spark=spark)
+    parts = [w.df.select(F.lit(k + 1).alias("layer"), F.col("i0").alias("i"), F.col("i1").alias("j"), (F.round("v", 9) + F.lit(0.0)).alias("v")) for k, w in enumerate(new)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+_FACTORS = (
+    f"WITH {_EVT}, r AS (SELECT i, j, CAST(v AS DOUBLE) v FROM evt), k AS (SELECT range k FROM range(0, 3)), u AS (SELECT unnest(range(0, (SELECT max(user_id) + 1 FROM events))) i), "
+    "p AS (SELECT u.i, k, ((u.i * 7 + k * 3) % 10) / 10.0 v FROM u, k), f AS (SELECT k, b.range j, ((k * 7 + b.range * 3) % 10) / 10.0 v FROM range(0, 24) b, k), "
     "pq AS (SELECT p.i, f.j, sum(p.v * f.v) v FROM p JOIN f ON p.k = f.k GROUP BY 1, 2), e AS (SELECT r.i, r.j, r.v - pq.v v FROM r JOIN pq ON pq.i = r.i AND pq.j = r.j), "
-    "g AS (SELECT e.i, f.k, sum(e.v * f.v) v FROM e JOIN f ON f.j = e.j GROUP BY 1, 2) "
-    "SELECT CAST(p.i AS BIGINT) AS i, CAST(p.k AS BIGINT) AS j, round(p.v + 0.002 * (2 * coalesce(g.v, 0) - 0.02 * p.v), 9) AS v FROM p LEFT JOIN g ON g.i = p.i AND g.k = p.k"
+    "gp AS (SELECT e.i, f.k, sum(e.v * f.v) v FROM e JOIN f ON f.j = e.j GROUP BY 1, 2), gf AS (SELECT p.k, e.j, sum(e.v * p.v) v FROM e JOIN p ON p.i = e.i GROUP BY 1, 2) "
+    "SELECT 'P' AS factor, CAST(p.i AS BIGINT) AS i, CAST(p.k AS BIGINT) AS j, round(p.v + 0.002 * (2 * coalesce(gp.v, 0) - 0.02 * p.v), 9) AS v FROM p LEFT JOIN gp ON gp.i = p.i AND gp.k = p.k "
+    "UNION ALL SELECT 'F', CAST(f.k AS BIGINT), CAST(f.j AS BIGINT), round(f.v + 0.002 * (2 * coalesce(gf.v, 0) - 0.02 * f.v), 9) FROM f LEFT JOIN gf ON gf.k = f.k AND gf.j = f.j"
 )
-def factor_step(spark, d):
+
+
+def _factored(spark, d, algorithm):
     e = evt(spark, d)
-    r = q("tensor*()(50,24)[ ((i,j),v.toDouble) | ((i,j),v) <- E, i < 50 ]", E=e, spark=spark)
-    p = q("tensor*(50,3)[ ((i,j),((i*7+j*3)%10)/10.0) | i <- 0..49, j <- 0..2 ]", spark=spark)
+    n = e.dims[0]
+    r = q("tensor*()(n,24)[ ((i,j),v.toDouble) | ((i,j),v) <- E ]", E=e, n=n, spark=spark)
+    p = q("tensor*(n,3)[ ((i,j),((i*7+j*3)%10)/10.0) | i <- 0..n-1, j <- 0..2 ]", n=n, spark=spark)
     f = q("tensor*(3,24)[ ((i,j),((i*7+j*3)%10)/10.0) | i <- 0..2, j <- 0..23 ]", spark=spark)
-    new, _ = algorithms.factorize_step(r, p, f, spark=spark)
-    return new.df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), F.round("v", 9).alias("v"))
+    both = [t.df.select(F.lit(name).alias("factor"), F.col("i0").alias("i"), F.col("i1").alias("j"), F.round("v", 9).alias("v")) for name, t in zip("PF", algorithm(r, p, f, spark=spark), strict=True)]
+    return both[0].unionAll(both[1])
+
+
+@query(_FACTORS)
+def factor_step(spark, d):
+    """Both factors after one gradient step."""
+    return _factored(spark, d, algorithms.factorize_step)
+
+
+@query(_FACTORS)
+def factor_loops(spark, d):
+    """The same step written as loops."""
+    return _factored(spark, d, algorithms.factorize_in_loops)

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from ..functions import scalars
 from ..lang import tree as t
+from ..lang.tree import pretty
 from ..session import config
 from ..tensor import Tensor, store, zero
-from ..lang.tree import pretty
+from . import tiled
 from .rewrite import conjuncts, rewrite
 
 
@@ -895,7 +896,10 @@ class Lowering:
         if s.df is not None:
             return self._nested(e, dims, s)
         if isinstance(e.of, t.Comprehension):
-            static = State(scope={n: v for n, v in s.scope.items() if not is_row(v)})
+            plain = {n: v for n, v in s.scope.items() if not is_row(v)}
+            if (made := tiled.plan(e, tuple(map(int, dims)), {**self.env, **plain})) is not None:
+                return made
+            static = State(scope=plain)
             state, head = self.comprehension(e.of, static)
             return self.stored(state, head, tuple(map(int, dims)), len(e.dense))
         v = self.value(e.of, s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import of_arrays
 from ..tensor import Tensor, from_table, store
 
 
@@ -26,7 +27,8 @@ def coordinates(spark: SparkSession, path: str, dims: tuple[int, ...], *, separa
 def vectors(df: DataFrame, key: str, column: str, dims: tuple[int, int], *, full: bool = False) -> Tensor:
     """A dense matrix of a table with one array a row; ``full``: every row from 0 on is there once, with an array of full length."""
     cells = df.select(F.col(key).cast("bigint").alias("i0"), F.posexplode(column).alias("i1", "v"))
-    return store(cells.select("i0", F.col("i1").cast("bigint").alias("i1"), F.col("v").cast("double").alias("v")), dims, 2, unique=True, full=full)
+    made = store(cells.select("i0", F.col("i1").cast("bigint").alias("i1"), F.col("v").cast("double").alias("v")), dims, 2, unique=True, full=full)
+    return made.with_blocks(of_arrays(df, key, column, dims)) if full else made
 
 
 __all__ = ["coordinates", "edges", "from_table", "table", "vectors"]

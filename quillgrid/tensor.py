@@ -8,8 +8,9 @@ sparse dimensions holds no zeros and reads only what it holds, unless scanned in
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class Tensor:
     dims: tuple[int, ...]
     dense: int
     full: bool = False  # every index is known to have a row
+    blocks: Any = field(default=None, compare=False)  # the same matrix in blocks, if it has been made so
 
     @property
     def rank(self) -> int:
@@ -74,7 +76,10 @@ class Tensor:
         return grid.join(self.df, self.index, "left").select(*self.index, F.coalesce("v", zero(self.kind)).alias("v"))
 
     def with_df(self, df: DataFrame, full: bool | None = None) -> Tensor:
-        return replace(self, df=df, full=self.full if full is None else full)
+        return replace(self, df=df, full=self.full if full is None else full, blocks=None)
+
+    def with_blocks(self, blocks: Any) -> Tensor:
+        return replace(self, blocks=blocks)
 
     def persist(self) -> Tensor:
         return self.with_df(self.df.persist())
@@ -112,13 +117,13 @@ def store(df: DataFrame, dims: tuple[int, ...], dense: int, *, unique: bool, ful
     return Tensor(out, tuple(dims), dense, full)
 
 
-def from_table(df: DataFrame, index: list[str], value: str | Column, dims: tuple[int, ...], *, dense: int = 0, combine: str | None = None) -> Tensor:
-    """A table's columns as a tensor; ``combine`` ("sum", "min", "max", "count") merges rows of one index."""
+def from_table(df: DataFrame, index: list[str], value: str | Column, dims: tuple[int, ...], *, dense: int = 0, combine: str | None = None, unique: bool = False) -> Tensor:
+    """A table's columns as a tensor; ``combine`` ("sum", "min", "max", "count") merges rows of one index, ``unique``: there are none."""
     v = F.col(value) if isinstance(value, str) else value
     out = df.select(*[F.col(c).cast("bigint").alias(f"i{k}") for k, c in enumerate(index)], v.alias("v"))
     if combine:
         out = out.groupBy(*[f"i{k}" for k in range(len(index))]).agg(getattr(F, combine)("v").alias("v"))
-    return store(out, dims, dense, unique=bool(combine))
+    return store(out, dims, dense, unique=bool(combine) or unique)
 
 
 def merge(old: Tensor, new: DataFrame, combine=None) -> Tensor:
