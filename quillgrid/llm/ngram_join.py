@@ -364,7 +364,7 @@ def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Thresh
     members; a block of outliers meets each block of members in a task, which drops members without a token in
     common with any of the outliers under the second and third order.  What travels is members times blocks of outliers.
     """
-    rooted = families.select("hub", "sig").join(roots, families["sig"] == roots["node"], "left").select("hub", "sig", F.coalesce("root", "sig").alias("root"))
+    rooted = families.select("hub", "sig").join(roots, families["sig"] == roots["node"]).select("hub", "sig", "root")
     sizes = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
     torn = sizes.groupBy("hub").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("members"), F.max("n").alias("most")).filter("members > most")
     cut = lambda n: F.ceil(F.col(n) / block).cast("int")
@@ -488,13 +488,22 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     # one row a set, even if a row is repeated; the rows of an id are in one partition already
     sets = set_parts(docs, limit).join(of_wanted, ["id", "sig"]).dropDuplicates(["id", "sig"]).drop("id")
     sets = stage(sets, "set-parts")
-    links = stage(confirm(stage(verify(pairs, sets, limit), "found"), sets, limit), "links")
+    links = stage(_named(confirm(stage(verify(pairs, sets, limit), "found"), sets, limit), names), "links")
     roots = stage(components(links, "a", "b"), "roots")
-    more = stage(confirm(stage(settle(families, roots, sets, limit, block), "found"), sets, limit), "links")
+    more = stage(_named(confirm(stage(settle(families, _rooted(names, roots), sets, limit, block), "found"), sets, limit), names), "links")
     if not more.isEmpty():
         roots = stage(components(links.unionAll(more), "a", "b"), "roots")
     unstage(sets)
-    class_of = names.join(roots, names["sig"] == roots["node"], "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
-    least = class_of.groupBy("root").agg(F.min("id").alias("class"))
-    by_sig = class_of.join(least, "root").select(F.struct(F.col("sig").alias("k")).alias("key"), "class")
+    by_sig = _rooted(names, roots).select(F.struct(F.col("node").alias("k")).alias("key"), F.col("root").alias("class"))
     return rows.withColumn("key", F.struct(F.col("sig").alias("k"))).join(by_sig, "key", "left").select("id", "sig", "n", "class")
+
+
+def _named(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links of sets as links of the smallest ids that have them, so that a component's root is its smallest id."""
+    a, b = names.select(F.col("sig").alias("a"), F.col("id").alias("id_a")), names.select(F.col("sig").alias("b"), F.col("id").alias("id_b"))
+    return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _rooted(names: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): each named set's component; every join is by a key that no two sets share."""
+    return names.join(roots, names["id"] == roots["node"], "left").select(F.col("sig").alias("node"), F.coalesce("root", "id").alias("root"))
