@@ -23,8 +23,15 @@ from quillgrid.llm.shared import stage
 ORACLE_SQL = None
 
 
+def _bounded(spark: SparkSession) -> None:
+    """The pipeline's session moves texts in Arrow batches of 1,000 rows or 4 MB at most: its stages are run after they have returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
+    _bounded(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # under names of their own, as the documents may have a column toxic
     names = [f"c{n}" for n in range(len(docs.columns))]
@@ -39,11 +46,13 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
+    _bounded(spark)
     return decontamination.drop_overlapping(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind in brackets; n_chars, where there is one, is counted again."""
+    _bounded(spark)
     clean = pii.redact(docs, pii.fit(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
