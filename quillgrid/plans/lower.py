@@ -92,7 +92,7 @@ def column(v: Any) -> Column:
     if isinstance(v, (list, tuple)):
         return F.array(*[column(x) for x in v])
     if isinstance(v, int) and not isinstance(v, bool):
-        return F.lit(v).cast("int" if -(2**31) <= v < 2**31 else "bigint")
+        return F.lit(int(v)).cast("int" if -(2**31) <= v < 2**31 and not isinstance(v, t.Long) else "bigint")
     if isinstance(v, (bool, float, str)) or v is None:
         return F.lit(v)
     raise LoweringError(f"not a value of a row: {type(v).__name__}")
