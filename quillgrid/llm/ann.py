@@ -8,7 +8,8 @@ code, and the centroid.  Only centroids are fitted, on ``sample_rows`` vectors.
 Search: the inner product of a query with a vector is estimated from the bits and
 scalars, within an error bound that holds with high probability.  A task keeps the
 20 best exact scores of each query; only vectors whose upper bound reaches the
-lowest of them, or the 20th lower bound, are reranked in double precision.
+lowest of them, or the 20th lower bound, are reranked in double precision; products are
+added from the first component to the last, so that equal vectors tie on any machine.
 
 Queries come in blocks of about ``block_rows`` that are sent to all tasks; the
 index is never collected, and each task returns ``k`` rows a query.
@@ -194,8 +195,8 @@ def _block(b: pa.RecordBatch, rows: np.ndarray, dim: int, asked: tuple, ready: t
         qs += lo
         keep = ids[qs] != ident[js]
         qs, js = qs[keep], js[keep]
-        for s in range(0, len(qs), 200_000):
-            u, v = qs[s : s + 200_000], js[s : s + 200_000]
-            exact = np.einsum("ij,ij->i", q[u], x[v])
+        for s in range(0, len(qs), 50_000):
+            u, v = qs[s : s + 50_000], js[s : s + 50_000]
+            exact = np.cumsum(q[u] * x[v], axis=1)[:, -1] + 0.0
             better = exact >= best.score[u, -1]
             best.add(u[better], exact[better], ident[v][better])
