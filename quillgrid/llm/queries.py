@@ -146,6 +146,16 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.reach) AS
 FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY ALL
 """
 
+# Exact neighbours: they equal the query's where its recall is 1.
+_ORACLE_OP10 = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v) AS score
+  FROM u a JOIN u b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_zstd_warc": _ORACLE_OP6, "op7_order_filters": _ORACLE_OP7}
+    return {"op6_zstd_warc": _ORACLE_OP6, "op7_order_filters": _ORACLE_OP7, "op10_one_bit_codes": _ORACLE_OP10}

@@ -1,11 +1,13 @@
 """Secret scans: character Markov models of random strings and of ordinary identifiers.
 
-Runs of identifier characters are scored by the log-likelihood ratio of two
-first-order Markov models.  The labelled samples are the corpus' own: runs that
-touch a match of the fixed formats below are random, all others ordinary.  The
-counting of runs and character pairs is one aggregate over all texts, the scoring a
-second pass, both DataFrame expressions; the driver sees only the table of pairs
-(67 x 67 at most for each class).
+Runs of identifier characters are scored by the log-likelihood ratio of a first-order
+Markov model of random strings to one of ordinary identifiers.  The labelled samples are
+the corpus' own: runs that touch a match of the fixed formats below are random, all
+others ordinary.  Ordinary ones are of two sorts, names and numbers (digits alone), each
+with a model of its own: a number counts as whichever explains it better, as it looks
+random to a model of names.  The counting of runs and character pairs is one aggregate
+over all texts, the scoring a second pass, both DataFrame expressions; the driver sees
+only the table of pairs (67 x 67 at most for each class).
 
 Offsets come from ``split`` and ``regexp_extract_all`` by the same pattern: the
 gaps and the matches alternate, so running sums of their lengths are positions.  The
@@ -30,7 +32,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+DIGITS = "0123456789"
 KINDS = ("assign", "access", "hex", "markov")
+#: Classes of runs: random strings, numbers, names.
+RANDOM, NUMBER, NAME = 0, 1, 2
 
 #: Matches whose places are summed up at once.
 CHUNK = 128
@@ -95,8 +100,24 @@ def _touches(spans: Column, r: Column) -> Column:
     return F.exists(spans["assign"], hit) | F.exists(spans["access"], hit) | F.exists(spans["hex"], hit)
 
 
-def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5, backoff: float = 1000.0) -> tuple[list[float], float] | None:
-    """(log ratio of every pair of characters, threshold): counts over all texts.
+def _numeric(value: Column) -> Column:
+    return value.rlike("^[0-9]+$")
+
+
+def _chain(counted: list, sort: int, alphabet: str, smoothing: float, backoff: float) -> dict[str, float]:
+    """Log probability of every pair's second character after its first."""
+    seen = {r["pair"]: r["n"] for r in counted if r["sort"] == sort and r["pair"]}
+    single = {b: sum(seen.get(a + b, 0) for a in alphabet) + smoothing for b in alphabet}
+    total = sum(single.values())
+    out = {}
+    for a in alphabet:
+        row = sum(seen.get(a + b, 0) for b in alphabet)
+        out |= {a + b: math.log((seen.get(a + b, 0) + backoff * single[b] / total) / (row + backoff)) for b in alphabet}
+    return out
+
+
+def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5, backoff: float = 1000.0) -> tuple[list[float], list[float], float] | None:
+    """(log ratio of every pair of characters to names, of every pair of digits to numbers, threshold): counts over all texts.
 
     A pair's probability leans on its second character's own, as ``backoff`` observations, so
     that an unlabelled secret among the ordinary runs does not vouch for itself.
@@ -104,28 +125,25 @@ def fit(docs: DataFrame, *, text: str = "text", smoothing: float = 0.5, backoff:
     if it is a hundred times as likely to be random.
     """
     found = docs.select(base_spans(F.col(text)).alias("s"))
-    runs = found.select(F.explode(F.transform("s.run", lambda r: F.struct(_touches(F.col("s"), r).alias("random"), r["value"].alias("value")))).alias("r")).select("r.*")
+    sort = lambda r: F.when(_touches(F.col("s"), r), RANDOM).when(_numeric(r["value"]), NUMBER).otherwise(NAME)
+    runs = found.select(F.explode(F.transform("s.run", lambda r: F.struct(sort(r).alias("sort"), r["value"].alias("value")))).alias("r")).select("r.*")
     # the empty pair counts the runs
     pairs = F.transform(F.sequence(F.lit(0), F.length("value") - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.substr(F.col("value"), i, F.lit(2))))
-    counted = runs.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 x (67 x 67 + 1) rows at most
-    totals = {r["random"]: r["n"] for r in counted if r["pair"] == ""}
-    if len(totals) < 2:
+    counted = runs.select("sort", F.explode(pairs).alias("pair")).groupBy("sort", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 x (67 x 67 + 1) rows at most
+    totals = {r["sort"]: r["n"] for r in counted if r["pair"] == ""}
+    ordinary = totals.get(NUMBER, 0) + totals.get(NAME, 0)
+    if not ordinary or not totals.get(RANDOM):
         return None
-    size, place = len(ALPHABET), {c: k for k, c in enumerate(ALPHABET)}
-    seen = {True: [[0] * size for _ in range(size)], False: [[0] * size for _ in range(size)]}
-    for r in counted:
-        if r["pair"]:
-            seen[r["random"]][place[r["pair"][0]]][place[r["pair"][1]]] += r["n"]
-    log = {}
-    for k, rows in seen.items():
-        single = [sum(c) + smoothing for c in zip(*rows, strict=True)]
-        total = sum(single)
-        log[k] = [[math.log((n + backoff * x / total) / (sum(row) + backoff)) for n, x in zip(row, single, strict=True)] for row in rows]
-    ratio = [round(log[True][a][b] - log[False][a][b], 6) for a in range(size) for b in range(size)]
-    return ratio, math.log(totals[False] / totals[True]) + math.log(100)
-
-
-def scan(docs: DataFrame, model: tuple[list[float], float] | None, *, text: str = "text") -> DataFrame:
+    strings, names = (_chain(counted, k, ALPHABET, smoothing, backoff) for k in (RANDOM, NAME))
+    numbers = _chain(counted, NUMBER, DIGITS, smoothing, backoff)
+    return (
+        [round(strings[a + b] - names[a + b], 6) for a in ALPHABET for b in ALPHABET],
+        [round(strings[a + b] - numbers[a + b], 6) for a in DIGITS for b in DIGITS],
+        math.log(ordinary / totals[RANDOM]) + math.log(100),
+    )
+
+
+def scan(docs: DataFrame, model: tuple[list[float], list[float], float] | None, *, text: str = "text") -> DataFrame:
     """``docs`` with secrets: an array of (kind, start, end, value, score) by start, then kind as in KINDS.
 
     ``score`` is the log-likelihood ratio of kind markov, else null.
@@ -140,15 +158,19 @@ def scan(docs: DataFrame, model: tuple[list[float], float] | None, *, text: str
         none = lambda m: F.lit(None)
         lists = [tagged(kind, k, spans[kind], none) for k, kind in enumerate(KINDS[:3])]
         if model is not None:
-            ratio, threshold = model
-            table = F.from_json(F.lit(str(ratio)), "array<double>")
+            to_names, to_numbers, threshold = model
 
-            def likelihood(m: Column) -> Column:
+            def ratio(m: Column, alphabet: str, values: list[float]) -> Column:
+                table = F.from_json(F.lit(str(values)), "array<double>")
                 # split by the empty pattern ends with an empty string where the length is not limited
-                codes = F.transform(F.split(m["value"], "", -1), lambda c: F.instr(F.lit(ALPHABET), c))
-                steps = lambda c: F.zip_with(F.slice(c, 1, F.length(m["value"]) - 1), F.slice(c, 2, F.length(m["value"]) - 1), lambda a, b: F.get(table, (a - 1) * len(ALPHABET) + b - 1))
+                codes = F.transform(F.split(m["value"], "", -1), lambda c: F.instr(F.lit(alphabet), c))
+                steps = lambda c: F.zip_with(F.slice(c, 1, F.length(m["value"]) - 1), F.slice(c, 2, F.length(m["value"]) - 1), lambda a, b: F.get(table, (a - 1) * len(alphabet) + b - 1))
                 return _let(codes, lambda c: F.aggregate(steps(c), F.lit(0.0), lambda s, x: s + x))
 
+            def likelihood(m: Column) -> Column:
+                name = ratio(m, ALPHABET, to_names)
+                return F.when(_numeric(m["value"]), F.least(name, ratio(m, DIGITS, to_numbers))).otherwise(name)
+
             free = F.filter(spans["run"], lambda r: ~_touches(spans, r))
             lists.append(F.filter(tagged("markov", 3, free, likelihood), lambda m: m["score"] > threshold))
         return F.transform(F.array_sort(F.concat(*lists)), lambda m: F.struct(m["kind"], m["start"], m["end"], m["value"], m["score"]))

@@ -177,6 +177,23 @@ def test_secrets_markov(spark):
     assert secrets.fit(docs.limit(0)) is None and secrets.scan(docs.limit(0), None).count() == 0
 
 
+@pytest.mark.parametrize("numbers", (0, 40))
+def test_secrets_precision(spark, numbers):
+    """Unlabelled keys of three alphabets are found; names, paths, dates and numbers are not, whether or not the corpus has many numbers."""
+    rng = random.Random(5)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words_ = ("parse", "config", "value", "total", "handler", "request", "user", "index", "Table", "Stream", "read", "write")
+    name = lambda: rng.choice(("_", "-", "/", "")).join(rng.choice(words_) for _ in range(5))
+    keys = lambda: rng.choice((draw(secrets.ALPHABET[:62], 32), draw(secrets.ALPHABET[:64], 40), draw("0123456789abcdef", 40)))
+    rows = [(k, f"{name()} {name()} token={keys()}") for k in range(200)] + [(k, f"{name()} number {draw(secrets.DIGITS, 16)}") for k in range(1000, 1000 + numbers)]
+    loose = [(k, f"{name()} see {draw(secrets.ALPHABET[:62], 40)} here") for k in range(5000, 5030)]
+    plain = [(k, f"{name()} {draw(secrets.DIGITS, 16 + k % 5)} and {name()} on 2024-01-0{1 + k % 9}-2024-02-01") for k in range(6000, 6030)]
+    docs = spark.createDataFrame(rows + loose + plain, "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["secrets"] if s["kind"] == "markov"] for r in secrets.scan(docs, secrets.fit(docs)).collect()}
+    assert sum(got[k] == [t.split()[2]] for k, t in loose) >= 29
+    assert all(got[k] == [] for k, _ in rows + plain)
+
+
 # ---------------------------------------------------------------- personal data
 
 
@@ -450,3 +467,17 @@ def test_join_oracle(spark):
     con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     want = con.execute(Q.oracle_sql()["op7_order_filters"]).fetchall()
     assert ordered(map(tuple, Q.op7_order_filters(spark, "/root/testdata/sf0.001").collect())) == ordered(want)
+
+
+def test_neighbours_oracle(spark):
+    """The query against DuckDB's exact neighbours, scores to the last bit."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    want = con.execute(f"select query_id, rank, vec_id, score from ({Q.oracle_sql()['op10_one_bit_codes']})").fetchall()
+    got = Q.op10_one_bit_codes(spark, folder).select("query_id", "rank", "vec_id", "score").collect()
+    assert want and ordered(map(tuple, got)) == ordered(want)
