@@ -499,9 +499,15 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
 
 
 def _named(links: DataFrame, names: DataFrame) -> DataFrame:
-    """Links of sets as links of the smallest ids that have them, so that a component's root is its smallest id."""
-    a, b = names.select(F.col("sig").alias("a"), F.col("id").alias("id_a")), names.select(F.col("sig").alias("b"), F.col("id").alias("id_b"))
-    return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    """Links of sets as links of the smallest ids that have them, so that a component's root is its smallest id.
+
+    A hub is in the links of its whole family: the join is by a computed key, so both sides are dealt anew and a set
+    with many links is a split join.
+    """
+    for c in ("a", "b"):
+        named = names.select(F.struct(F.col("sig").alias("k")).alias("key"), F.col("id").alias(f"id_{c}"))
+        links = links.withColumn("key", F.struct(F.col(c).alias("k"))).join(named, "key").drop("key")
+    return links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def _rooted(names: DataFrame, roots: DataFrame) -> DataFrame:
