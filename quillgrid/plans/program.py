@@ -198,7 +198,7 @@ class Program:
         index = at[0] if len(at) == 1 else t.Tuple(at)
         state, head = self.lower.comprehension(t.Comprehension(t.Tuple((index, value)), tuple(quals)))
         new = self.lower.stored(state, head, old.dims, len(old.dims))
-        whole = _covers(quals, at, self, old.dims)
+        whole = _covers(quals, at, self, old.dims) and _reads_whole(value, at, old.dims, self.env)
         weight = self.weight.get(name, 1) + self.weigh(value) + sum(map(self.weigh, quals))
         new_cells = new.df.select(*old.index, F.col("v").cast(old.kind).alias("v"))
         if whole:
@@ -361,3 +361,14 @@ def _covers(quals: list[t.Node], at: tuple, p: Program, dims: tuple[int, ...]) -
         low, high = p.value(q.domain.low) if not t.free(q.domain.low) & set(ranges) else None, p.value(q.domain.high) if not t.free(q.domain.high) & set(ranges) else None
         ranges[q.pattern.name] = (low, high)
     return all(isinstance(a, t.Name) and ranges.get(a.name) == (0, d - 1) for a, d in zip(at, dims, strict=True))
+
+
+def _reads_whole(e: Any, at: tuple, dims: tuple[int, ...], env: dict[str, Any]) -> bool:
+    """Whether an expression has a value wherever the loops go: it reads dense arrays alone, at the loops' own indexes.  A read
+    of a sparse array or of a map, or out of an array's range, gives no row, and what was there stays."""
+    if isinstance(e, (t.Comprehension, t.Lambda)):
+        return False
+    if isinstance(e, t.Index) and isinstance(e.of, t.Name) and isinstance(v := env.get(e.of.name), (Tensor, DataFrame)):
+        sizes = dict(zip(at, dims, strict=True))
+        return isinstance(v, Tensor) and not v.is_sparse and len(e.at) == v.rank and all(sizes.get(a, d + 1) <= d for a, d in zip(e.at, v.dims, strict=True))
+    return all(_reads_whole(c, at, dims, env) for c in t.children(e) if isinstance(c, (t.Node, tuple)))

@@ -213,6 +213,19 @@ def test_loops(spark):
     assert np.array_equal(dense(run(spark, "var k = 1; while (k < 9) { k = 2*k; W = [ (s,w+k) | (s,w) <- W ] }; W;")), WEIGHT + 2 + 4 + 8 + 16)
 
 
+def test_assigned_from_arrays_with_gaps(spark):
+    some = from_table(spark.createDataFrame([(s, 10.0 + s) for s in range(0, SENSORS, 2)], "sensor int, x double"), ["sensor"], "x", (SENSORS,), combine="sum")
+    few = from_table(spark.createDataFrame([(s, 20.0 + s) for s in range(3)], "sensor int, x double"), ["sensor"], "x", (3,), dense=1, combine="sum")
+    left = lambda new, stays: np.where(stays, WEIGHT, new)
+    places = np.arange(SENSORS)
+    got = run(spark, "for s = 0, sensors-1 do W[s] = S[s]; W;", S=some)
+    assert got.df.count() == SENSORS and np.array_equal(dense(got), left(10.0 + places, places % 2 == 1))
+    got = run(spark, "for s = 0, sensors-1 do W[s] = F[s]; W;", F=few)
+    assert got.df.count() == SENSORS and np.array_equal(dense(got), left(20.0 + places, places > 2))
+    got = run(spark, "for s = 0, sensors-1 do W[s] = 2.0-W[s]; W;")
+    assert np.array_equal(dense(got), 2 - WEIGHT) and "FullOuter" not in plan(got.df)  # all there: nothing is merged
+
+
 def test_components_of_elements(spark):
     text = "var T = tensor(3)[ (i,<n=0,top=0.0>) | i <- 0..2 ]; for d = 0, days-1 do for s = 0, sensors-1 do { T[s%3]#n += 1; T[s%3]#top = max(T[s%3]#top,R[d,s]) }; T;"
     with pytest.raises(LoopError):
