@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +21,56 @@ def _spread(edges: DataFrame) -> DataFrame:
     return edges.withColumn("key", F.struct(F.col("u").alias("k"))).join(least, "key")
 
 
-def components(links: DataFrame, a: str, b: str, *, rounds: int = 60) -> DataFrame:
+def forest(links: DataFrame, a: str, b: str, *, size: int = 1 << 18) -> DataFrame:
+    """(a, b): other links with the same components: each task reads about ``size`` of the links, holds the nodes of
+    that many and gives each node's link to the smallest that it reaches there, so one less than the nodes at most."""
+    schema = links.select(a, b).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        read, kind = 0, None
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            rows = [(x, r) for x in up if (r := top(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], names=[a, b])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(up.setdefault(x, x)), top(up.setdefault(y, y))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            read += batch.num_rows
+            if read >= 2 * size:
+                yield stars()
+                up.clear()
+                read = 0
+        if up:
+            yield stars()
+
+    parts = max(1, links.count() // size)
+    return links.select(a, b).coalesce(parts).mapInArrow(run, schema)
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+
+
+def components(links: DataFrame, a: str, b: str, *, rounds: int = 60, size: int = 1 << 18) -> DataFrame:
     """(node, root) for every node of the links; root is the component's smallest node.
 
+    ``links`` must be staged (it is read twice): tasks first thin it to forests (see ``forest``).
     The number of rounds grows with the logarithm of a component's size.  Rounds end
     when the links no longer change; they are written to the shared folder each time.
     """
-    edges = stage(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    before = None
+    edges = stage(forest(links.filter(F.col(a) != F.col(b)), a, b, size=size).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    before = _state(edges)
     for _ in range(rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _spread(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -34,7 +79,7 @@ def components(links: DataFrame, a: str, b: str, *, rounds: int = 60) -> DataFra
         after = stage(step, "links")
         unstage(edges)
         edges = after
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        state = _state(edges)
         if state == before:
             break
         before = state

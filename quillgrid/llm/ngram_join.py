@@ -21,7 +21,8 @@ Equal sets are one member of the join.  Links found so far make components.  In
 family with more than one component, the members outside its largest one (the
 outliers) are then set against all members, in blocks of ``block``: a link between two
 components always has an outlier.  No group is expanded into pairs of rows and none
-is held whole by a task.
+is held whole by a task.  Blocks find the same members' links again and again, so what they find is thinned to
+spanning forests before it is joined with anything.
 
 Overlaps are counted on 32 bits of each shingle's hash, which never loses a link; a
 link that would not hold with ``doubt`` common shingles less is counted again on all 64 bits.
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from .components import components, forest
 from .shared import Words, bounded_batches, mix, shingle_set, stage, text_chunks, unstage, window_hashes
 
 ORDERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -176,9 +177,19 @@ def postings(docs: DataFrame, limit: Threshold, frequent: np.ndarray, *, hot: bo
     return docs.select("text").mapInArrow(run, "token long, sig long, n int")
 
 
-def set_parts(docs: DataFrame, limit: Threshold) -> DataFrame:
+def marks(sigs: DataFrame, most: int, largest: int = 1 << 26) -> np.ndarray:
+    """A bit for each of up to ``most`` sets, in 64-bit words by the lower bits of the signature: 3 % of the others share one
+    of them.  With more sets than ``largest`` has room for, more of the others pass, but no set is lost."""
+    size = min(largest, max(1 << 10, 1 << (32 * most).bit_length()))
+    rows = sigs.groupBy(F.expr(f"cast(shiftright(sig & {size - 1}, 6) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(sig & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def set_parts(docs: DataFrame, limit: Threshold, marked: np.ndarray | None = None) -> DataFrame:
     """(id, sig, set, rest, second, third) as bytes: the upper and the lower 32 bits of each shingle's hash, in order,
-    and the prefixes under the second and third order."""
+    and the prefixes under the second and third order; ``marked``: only of sets that have their bit there."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +198,17 @@ def set_parts(docs: DataFrame, limit: Threshold) -> DataFrame:
                 b = whole.slice(at, 1024)
                 sig: list = []
                 made: list[list[bytes]] = [[], [], [], []]
-                for _, s in _sets(b.column(1), limit.k):
-                    sig.append(_signature(s) if len(s) else None)
+                where: list[int] = []
+                for i, s in _sets(b.column(1), limit.k):
+                    g = _signature(s) if len(s) else None
+                    if marked is not None and (g is None or not int(marked[g >> 6 & len(marked) - 1]) >> (g & 63) & 1):
+                        continue
+                    where.append(i)
+                    sig.append(g)
                     high = (s >> np.uint64(32)).astype(np.uint32)
                     for column, x in zip(made, (high, s.astype(np.uint32), *(_prefix(high, o, limit) if len(s) else high for o in ORDERS)), strict=True):
                         column.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), *(pa.array(c, pa.binary()) for c in made)], names=["id", "sig", "set", "rest", "second", "third"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), pa.array(sig, pa.int64()), *(pa.array(c, pa.binary()) for c in made)], names=["id", "sig", "set", "rest", "second", "third"])
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, sig long, set binary, rest binary, second binary, third binary")
 
@@ -486,11 +502,13 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(families.select("sig")).distinct()
     of_wanted = wanted.join(names, "sig")
     # one row a set, even if a row is repeated; the rows of an id are in one partition already
-    sets = set_parts(docs, limit).join(of_wanted, ["id", "sig"]).dropDuplicates(["id", "sig"]).drop("id")
+    # sets without candidates, most of them, are not dealt at all
+    marked = marks(wanted, 2 * pairs.count() + families.count())
+    sets = set_parts(docs, limit, marked).join(of_wanted, ["id", "sig"]).dropDuplicates(["id", "sig"]).drop("id")
     sets = stage(sets, "set-parts")
-    links = stage(_named(confirm(stage(verify(pairs, sets, limit), "found"), sets, limit), names), "links")
+    links = stage(_named(_confirmed(verify(pairs, sets, limit), sets, limit), names), "links")
     roots = stage(components(links, "a", "b"), "roots")
-    more = stage(_named(confirm(stage(settle(families, _rooted(names, roots), sets, limit, block), "found"), sets, limit), names), "links")
+    more = stage(_named(_confirmed(settle(families, _rooted(names, roots), sets, limit, block), sets, limit), names), "links")
     if not more.isEmpty():
         roots = stage(components(links.unionAll(more), "a", "b"), "roots")
     unstage(sets)
@@ -498,6 +516,11 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     return rows.withColumn("key", F.struct(F.col("sig").alias("k"))).join(by_sig, "key", "left").select("id", "sig", "n", "class")
 
 
+def _confirmed(found: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Links that connect the sets that the confirmed ones of ``found`` connect, not many more than there are such sets."""
+    return forest(stage(confirm(stage(found, "found"), sets, limit), "confirmed"), "a", "b")
+
+
 def _named(links: DataFrame, names: DataFrame) -> DataFrame:
     """Links of sets as links of the smallest ids that have them, so that a component's root is its smallest id.
 

@@ -72,6 +72,41 @@ def test_components(spark):
     assert got == {n: 0 if n < 99 or n == 300 else 100 for x in links for n in x}
 
 
+def test_components_of_forests(spark):
+    rng = random.Random(7)
+    links = [(a, b) for a in range(30) for b in range(a)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(80)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(8)
+    want = dict(map(tuple, components.components(df, "a", "b").collect()))
+    assert {want[n] for n in range(30)} == {0}
+    assert dict(map(tuple, components.components(df, "a", "b", size=16).collect())) == want
+    thin = components.forest(df, "a", "b")
+    assert thin.count() < len({n for x in links for n in x})
+    assert dict(map(tuple, components.components(thin, "a", "b").collect())) == want
+
+
+def test_what_the_join_deals(spark, monkeypatch):
+    """Sets without candidates are not dealt, and no more links are named than there are sets."""
+    rng = random.Random(5)
+    base = prose(rng, 70).split()
+    rows = [(k, " ".join(w if rng.random() < 0.985 else f"e{rng.randrange(50)}" for w in base)) for k in range(60)]
+    rows += [(100 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for k in range(300)]
+    named, dealt = [], []
+    name, parts = ngram_join._named, ngram_join.set_parts
+    monkeypatch.setattr(ngram_join, "_named", lambda links, names: named.append(links.count()) or name(links, names))
+    monkeypatch.setattr(ngram_join, "set_parts", lambda *x: dealt.append(parts(*x)) or dealt[-1])
+    got = ngram_join.classes(frame(spark, rows), small=4, block=4)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_classes(rows)
+    assert max(named) < 60 and dealt[0].count() <= 100
+
+
+def test_marks(spark):
+    sigs = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    df = spark.createDataFrame([(int(s),) for s in sigs], "sig long")
+    for largest in (1 << 26, 1 << 8):  # too few bits: all are still there
+        bits = ngram_join.marks(df, 500, largest)
+        assert all(int(bits[s >> 6 & len(bits) - 1]) >> (s & 63) & 1 for s in sigs.tolist())
+
+
 def test_repeats(spark):
     rows = documents()
     got = substrings.repeats(clashing(frame(spark, rows))).collect()
