@@ -187,30 +187,47 @@ def marks(sigs: DataFrame, most: int, largest: int = 1 << 26) -> np.ndarray:
     return out
 
 
-def set_parts(docs: DataFrame, limit: Threshold, marked: np.ndarray | None = None) -> DataFrame:
-    """(id, sig, set, rest, second, third) as bytes: the upper and the lower 32 bits of each shingle's hash, in order,
-    and the prefixes under the second and third order; ``marked``: only of sets that have their bit there."""
+def set_parts(docs: DataFrame, limit: Threshold, marked: np.ndarray, *columns: str) -> DataFrame:
+    """(id, sig, columns as bytes) of the rows whose sets have their bit in ``marked``: "whole" and "set" are each shingle's
+    hash and its upper 32 bits, in order, "second" and "third" the prefixes under these orders.  Of the rows with one
+    set that a task has met, only those with a smaller id than all before follow."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                sig: list = []
-                made: list[list[bytes]] = [[], [], [], []]
+        least: dict = {}
+        for rows in batches:
+            for at in range(0, rows.num_rows, 1024):
+                b = rows.slice(at, 1024)
                 where: list[int] = []
+                sig: list[int] = []
+                made: list[list[bytes]] = [[] for _ in columns]
                 for i, s in _sets(b.column(1), limit.k):
-                    g = _signature(s) if len(s) else None
-                    if marked is not None and (g is None or not int(marked[g >> 6 & len(marked) - 1]) >> (g & 63) & 1):
+                    g = _signature(s) if len(s) else 0
+                    if not len(s) or not int(marked[g >> 6 & len(marked) - 1]) >> (g & 63) & 1:
                         continue
+                    own = b.column(0)[i].as_py()
+                    if own is None or g in least and least[g] <= own:
+                        continue
+                    if len(least) > 200_000:
+                        least.clear()
+                    least[g] = own
                     where.append(i)
                     sig.append(g)
                     high = (s >> np.uint64(32)).astype(np.uint32)
-                    for column, x in zip(made, (high, s.astype(np.uint32), *(_prefix(high, o, limit) if len(s) else high for o in ORDERS)), strict=True):
-                        column.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), pa.array(sig, pa.int64()), *(pa.array(c, pa.binary()) for c in made)], names=["id", "sig", "set", "rest", "second", "third"])
+                    for column, name in zip(made, columns, strict=True):
+                        column.append((s if name == "whole" else high if name == "set" else _prefix(high, ORDERS[name == "third"], limit)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), pa.array(sig, pa.int64()), *(pa.array(c, pa.binary()) for c in made)], names=["id", "sig", *columns])
+
+    return docs.select("id", "text").mapInArrow(run, ", ".join([f"id {kind}, sig long", *(f"{c} binary" for c in columns)]))
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, sig long, set binary, rest binary, second binary, third binary")
+
+def staged_parts(docs: DataFrame, names: DataFrame, sigs: DataFrame, most: int, limit: Threshold, *columns: str) -> DataFrame:
+    """Staged: (sig, columns), one row for each of the sets ``sigs``, of which there are up to ``most``.  Sets that are not
+    asked for, most of them, are not dealt at all."""
+    of_sigs = sigs.join(names, "sig")
+    # one row a set, even if a row is repeated; the rows of an id are in one partition already
+    parts = set_parts(docs, limit, marks(sigs, most), *columns).join(of_sigs, ["id", "sig"]).dropDuplicates(["id", "sig"]).drop("id")
+    return stage(parts, "set-parts")
 
 
 # ---------------------------------------------------------------- candidates
@@ -356,21 +373,25 @@ def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold, doubt: int = 3)
     return _sides(_filtered(pairs, sets), sets, "set").mapInArrow(run, "a long, b long, sure boolean")
 
 
-def confirm(found: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The links (a, b) of ``found``, those that are not sure by all 64 bits."""
+def confirm(found: DataFrame, docs: DataFrame, names: DataFrame, limit: Threshold) -> DataFrame:
+    """Staged: the links (a, b) of ``found`` (staged), those that are not sure by all 64 bits, which a pass of its own reads for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                high_a, low_a, high_b, low_b = (np.frombuffer(batch.column(c)[k].as_py(), np.uint32).astype(np.uint64) for c in range(2, 6))
-                s, t = high_a << np.uint64(32) | low_a, high_b << np.uint64(32) | low_b
+                s, t = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (2, 3))
                 if limit.linked(int(_is_in(t, s).sum()), len(s), len(t)):
                     keep.append(k)
             yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
-    again = _sides(found.filter("not sure").select("a", "b"), sets, "set", "rest").mapInArrow(run, "a long, b long")
-    return found.filter("sure").select("a", "b").unionAll(again)
+    doubtful = found.filter("not sure").select("a", "b").distinct()
+    if not (n := doubtful.count()):
+        return found.select("a", "b")
+    whole = staged_parts(docs, names, doubtful.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), 2 * n, limit, "whole")
+    links = stage(found.filter("sure").select("a", "b").unionAll(_sides(doubtful, whole, "whole").mapInArrow(run, "a long, b long")), "confirmed")
+    unstage(whole)
+    return links
 
 
 def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Threshold, block: int, doubt: int = 3) -> DataFrame:
@@ -500,15 +521,10 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     pairs, families = candidates(docs, limit, often, small)
     names = rows.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(families.select("sig")).distinct()
-    of_wanted = wanted.join(names, "sig")
-    # one row a set, even if a row is repeated; the rows of an id are in one partition already
-    # sets without candidates, most of them, are not dealt at all
-    marked = marks(wanted, 2 * pairs.count() + families.count())
-    sets = set_parts(docs, limit, marked).join(of_wanted, ["id", "sig"]).dropDuplicates(["id", "sig"]).drop("id")
-    sets = stage(sets, "set-parts")
-    links = stage(_named(_confirmed(verify(pairs, sets, limit), sets, limit), names), "links")
+    sets = staged_parts(docs, names, wanted, 2 * pairs.count() + families.count(), limit, "set", "second", "third")
+    links = stage(_named(_confirmed(verify(pairs, sets, limit), docs, names, limit), names), "links")
     roots = stage(components(links, "a", "b"), "roots")
-    more = stage(_named(_confirmed(settle(families, _rooted(names, roots), sets, limit, block), sets, limit), names), "links")
+    more = stage(_named(_confirmed(settle(families, _rooted(names, roots), sets, limit, block), docs, names, limit), names), "links")
     if not more.isEmpty():
         roots = stage(components(links.unionAll(more), "a", "b"), "roots")
     unstage(sets)
@@ -516,9 +532,9 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     return rows.withColumn("key", F.struct(F.col("sig").alias("k"))).join(by_sig, "key", "left").select("id", "sig", "n", "class")
 
 
-def _confirmed(found: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+def _confirmed(found: DataFrame, docs: DataFrame, names: DataFrame, limit: Threshold) -> DataFrame:
     """Links that connect the sets that the confirmed ones of ``found`` connect, not many more than there are such sets."""
-    return forest(stage(confirm(stage(found, "found"), sets, limit), "confirmed"), "a", "b")
+    return forest(confirm(stage(found, "found"), docs, names, limit), "a", "b")
 
 
 def _named(links: DataFrame, names: DataFrame) -> DataFrame:
