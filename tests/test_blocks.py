@@ -30,6 +30,19 @@ def test_products(spark, grid, limit):
     assert np.array_equal(got, dense(a) @ dense(b))
 
 
+def test_products_of_one_inner_block_are_not_dealt(spark):
+    a, b = matrix(spark, 22, 3), matrix(spark, 3, 17)
+    before = config.broadcast_rows
+    try:
+        for config.broadcast_rows in (0, 1_000_000):
+            made = blocks.multiply(blocks.pack(a, 4), blocks.pack(b, 4))
+            assert np.array_equal(dense(blocks.unpack(made)), dense(a) @ dense(b))
+            text = made.df._jdf.queryExecution().optimizedPlan().toString()
+            assert text.splitlines()[0].startswith("MapInArrow") and "Join" in text.splitlines()[2]
+    finally:
+        config.broadcast_rows = before
+
+
 def test_round_trip_and_sum(spark):
     a, b = matrix(spark, 10, 7), matrix(spark, 10, 7, "()(n,m)")
     assert np.array_equal(dense(blocks.unpack(blocks.pack(a, 4))), dense(a))
