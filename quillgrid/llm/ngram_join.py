@@ -26,6 +26,8 @@ spanning forests before it is joined with anything.
 
 Overlaps are counted on 32 bits of each shingle's hash, which never loses a link; a
 link that would not hold with ``doubt`` common shingles less is counted again on all 64 bits.
+Of the doubtful links that a block finds, those follow that join what its other links leave apart: a
+spanning forest, never its pairs.  Where one of them is refuted, the families are settled again without it.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; fewer words than ``k`` make one shingle; repeated rows and equal
@@ -374,28 +376,27 @@ def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold, doubt: int = 3)
 
 
 def confirm(found: DataFrame, docs: DataFrame, names: DataFrame, limit: Threshold) -> DataFrame:
-    """Staged: the links (a, b) of ``found`` (staged), those that are not sure by all 64 bits, which a pass of its own reads for them."""
+    """Staged: the links (a, b, holds) of ``found`` (staged), those that are not sure by all 64 bits, which a pass of its own reads for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            holds = []
             for k in range(batch.num_rows):
                 s, t = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (2, 3))
-                if limit.linked(int(_is_in(t, s).sum()), len(s), len(t)):
-                    keep.append(k)
-            yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+                holds.append(bool(limit.linked(int(_is_in(t, s).sum()), len(s), len(t))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
 
     doubtful = found.filter("not sure").select("a", "b").distinct()
     if not (n := doubtful.count()):
-        return found.select("a", "b")
+        return found.withColumnRenamed("sure", "holds")
     whole = staged_parts(docs, names, doubtful.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), 2 * n, limit, "whole")
-    links = stage(found.filter("sure").select("a", "b").unionAll(_sides(doubtful, whole, "whole").mapInArrow(run, "a long, b long")), "confirmed")
+    links = stage(found.filter("sure").select("a", "b", F.lit(True).alias("holds")).unionAll(_sides(doubtful, whole, "whole").mapInArrow(run, "a long, b long, holds boolean")), "confirmed")
     unstage(whole)
     return links
 
 
-def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Threshold, block: int, doubt: int = 3) -> DataFrame:
-    """Links (a, b, sure) between members of one family that are in different components so far.
+def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Threshold, block: int, doubt: int = 3, refuted: frozenset = frozenset()) -> DataFrame:
+    """Links (a, b, sure) between members of one family that are in different components so far, the ``refuted`` ones left out.
 
     The outliers of a family, its members outside the largest component, are dealt in blocks, and so are all
     members; a block of outliers meets each block of members in a task, which drops members without a token in
@@ -419,7 +420,7 @@ def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Thresh
         group, held = None, []
 
         def links() -> pa.RecordBatch:
-            a, b, sure = _across(held, limit, doubt)
+            a, b, sure = _across(held, limit, doubt, refuted)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
 
         for batch in batches:
@@ -435,9 +436,11 @@ def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Thresh
     return loaded.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _across(members: list, limit: Threshold, doubt: int) -> tuple[list[int], list[int], list[bool]]:
+def _across(members: list, limit: Threshold, doubt: int, refuted: frozenset = frozenset()) -> tuple[list[int], list[int], list[bool]]:
     """Links of the outliers (those that ask, first in the list) with members of other components, found with an index from
-    shingles to outliers.  A member is looked up only if it has a token in common with an outlier under both orders."""
+    shingles to outliers.  A member is looked up only if it has a token in common with an outlier under both orders.
+
+    Sure links and then doubtful ones that are not refuted, as a forest: one less than the components at most."""
     outer = [m for m in members if m[2]]
     if not outer:
         return [], [], []
@@ -455,6 +458,7 @@ def _across(members: list, limit: Threshold, doubt: int) -> tuple[list[int], lis
     token, owner = token[order], owner[order]
     prefixes = [np.unique(np.concatenate([_prefix(m[3], o, limit) for m in outer])) for o in ORDERS]
     a, b, sure = [], [], []
+    doubtful: list[tuple] = []  # of one block, so no more than its pairs
     for sig, root, _, s in members[len(outer) :]:
         if not all(_is_in(_prefix(s, o, limit), p).any() for o, p in zip(ORDERS, prefixes, strict=True)):
             continue
@@ -464,13 +468,22 @@ def _across(members: list, limit: Threshold, doubt: int) -> tuple[list[int], lis
         common = np.bincount(owner[at], minlength=len(outer))
         for j in np.flatnonzero(limit.linked(common, sizes, len(s)) & limit.sizes_fit(sizes, len(s))):
             r, q = top(root), top(outer[j][1])
-            if r != q:
-                certain = bool(limit.linked(int(common[j]) - doubt, int(sizes[j]), len(s)))
-                if certain:  # a doubtful link must not keep a sure one out
-                    up[r] = q
-                a.append(sig)
-                b.append(outer[j][0])
-                sure.append(certain)
+            if r == q:
+                continue
+            if not limit.linked(int(common[j]) - doubt, int(sizes[j]), len(s)):
+                doubtful.append((sig, outer[j][0], root, outer[j][1]))
+                continue
+            up[r] = q
+            a.append(sig)
+            b.append(outer[j][0])
+            sure.append(True)
+    for sig, other, root, outer_root in doubtful:  # last, as none of them must keep a sure one out
+        r, q = top(root), top(outer_root)
+        if r != q and (min(sig, other), max(sig, other)) not in refuted:
+            up[r] = q
+            a.append(sig)
+            b.append(other)
+            sure.append(False)
     return a, b, sure
 
 
@@ -522,9 +535,9 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     names = rows.filter("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionAll(families.select("sig")).distinct()
     sets = staged_parts(docs, names, wanted, 2 * pairs.count() + families.count(), limit, "set", "second", "third")
-    links = stage(_named(_confirmed(verify(pairs, sets, limit), docs, names, limit), names), "links")
+    links = stage(_named(_holding(confirm(stage(verify(pairs, sets, limit), "found"), docs, names, limit)), names), "links")
     roots = stage(components(links, "a", "b"), "roots")
-    more = stage(_named(_confirmed(settle(families, _rooted(names, roots), sets, limit, block), docs, names, limit), names), "links")
+    more = stage(_named(_settled(families, _rooted(names, roots), sets, docs, names, limit, block), names), "links")
     if not more.isEmpty():
         roots = stage(components(links.unionAll(more), "a", "b"), "roots")
     unstage(sets)
@@ -532,9 +545,21 @@ def _classes(docs: DataFrame, limit: Threshold, small: int, hot: int, block: int
     return rows.withColumn("key", F.struct(F.col("sig").alias("k"))).join(by_sig, "key", "left").select("id", "sig", "n", "class")
 
 
-def _confirmed(found: DataFrame, docs: DataFrame, names: DataFrame, limit: Threshold) -> DataFrame:
+def _holding(found: DataFrame) -> DataFrame:
     """Links that connect the sets that the confirmed ones of ``found`` connect, not many more than there are such sets."""
-    return forest(confirm(stage(found, "found"), docs, names, limit), "a", "b")
+    return forest(found.filter("holds").select("a", "b"), "a", "b")
+
+
+def _settled(families: DataFrame, roots: DataFrame, sets: DataFrame, docs: DataFrame, names: DataFrame, limit: Threshold, block: int) -> DataFrame:
+    """Confirmed links of ``settle``, which is done again as long as a doubtful link of a forest does not hold: others that it
+    kept out may.  A link is refuted where shingles differ in the lower half of their hashes alone, so the driver holds few."""
+    refuted: frozenset = frozenset()
+    while True:
+        found = confirm(stage(settle(families, roots, sets, limit, block, refuted=refuted), "found"), docs, names, limit)
+        wrong = {(min(r), max(r)) for r in found.filter("not holds").select("a", "b").collect()}
+        if not wrong - refuted:
+            return _holding(found)
+        refuted |= wrong
 
 
 def _named(links: DataFrame, names: DataFrame) -> DataFrame:

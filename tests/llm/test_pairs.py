@@ -99,6 +99,45 @@ def test_what_the_join_deals(spark, monkeypatch):
     assert max(named) < 60 and dealt[0].count() <= 100
 
 
+def near_copies(rng, n):
+    """Short texts whose links are all close calls."""
+    base = prose(rng, 34, 9000).split()
+    return [(k, " ".join(w if x != k % 34 else f"e{k}" for x, w in enumerate(base))) for k in range(n)]
+
+
+def test_doubtful_links_are_a_forest():
+    """What a block finds grows with its members, close calls or not, and a refuted link keeps no other out."""
+    limit = ngram_join.Threshold()
+    sets = [np.sort(np.array([s for s in range(1, 31) if s != k % 30 + 1] + [1000 + k], np.uint32)) for k in range(60)]
+    members = [(k, k, True, s) for k, s in enumerate(sets)] + [(k, k, False, s) for k, s in enumerate(sets)]
+    for refuted in (frozenset(), frozenset((0, k) for k in range(1, 60) if k != 7)):
+        a, b, sure = ngram_join._across(members, limit, 3, refuted)
+        up = list(range(60))
+        for x, y in zip(a, b, strict=True):
+            up = [up[x] if r == up[y] else r for r in up]
+        assert len(a) == 59 and not any(sure) and len(set(up)) == 1
+        assert not {(min(x), max(x)) for x in zip(a, b, strict=True)} & refuted
+
+
+def test_a_refuted_link_keeps_no_other_out(spark, monkeypatch):
+    rows, asked = near_copies(random.Random(6), 90), []
+    confirm = ngram_join.confirm
+
+    def refuting(found, *x):
+        asked.append(found.filter("not sure").count())
+        out = confirm(found, *x)
+        if len(asked) != 2:
+            return out
+        a, b = out.filter("holds").select("a", "b").orderBy("a", "b").first()
+        return out.withColumn("holds", (out["a"] != a) | (out["b"] != b))
+
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, sets, limit, verify=ngram_join.verify: verify(pairs, sets, limit).filter("false"))
+    monkeypatch.setattr(ngram_join, "confirm", refuting)
+    got = ngram_join.classes(frame(spark, rows), small=2, hot=0, block=64)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_classes(rows)
+    assert len(asked) == 3 and min(asked[1:]) > 0
+
+
 def test_marks(spark):
     sigs = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
     df = spark.createDataFrame([(int(s),) for s in sigs], "sig long")
