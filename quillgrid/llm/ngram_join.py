@@ -8,10 +8,10 @@ l: the smaller of the two sets' demands).  Three orders are used:
     of up to ``small`` sets give their pairs, and a pair must meet in l lists.
     Longer lists give only links to a hub (their smallest set), and the set of
     members by hub, a family, is settled later.
-2.  and 3. two fixed permutations.  Every candidate of the first order, from short
-    lists, hubs and families alike, must have a token in common under both: the
-    candidates are joined with these prefixes alone, and only what is left of them
-    is joined with whole sets.
+2.  and 3. two fixed permutations.  Every candidate of the first order from short
+    lists and hubs must have l tokens in common under both, and a family's member
+    l tokens under the second with a member of another component: they meet by these
+    prefixes alone, of 24 bits a token, and only sets that are left are dealt whole.
 
 Which shingles count as frequent comes from all texts, but changes only the order
 and never the result: each task counts its own, and the ``hot`` most frequent sums
@@ -191,7 +191,7 @@ def marks(sigs: DataFrame, most: int, largest: int = 1 << 26) -> np.ndarray:
 
 def set_parts(docs: DataFrame, limit: Threshold, marked: np.ndarray, *columns: str) -> DataFrame:
     """(id, sig, columns as bytes) of the rows whose sets have their bit in ``marked``: "whole" and "set" are each shingle's
-    hash and its upper 32 bits, in order, "second" and "third" the prefixes under these orders.  Of the rows with one
+    hash and its upper 32 bits, in order, "second" and "third" the packed prefixes under these orders.  Of the rows with one
     set that a task has met, only those with a smaller id than all before follow."""
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -217,7 +217,7 @@ def set_parts(docs: DataFrame, limit: Threshold, marked: np.ndarray, *columns: s
                     sig.append(g)
                     high = (s >> np.uint64(32)).astype(np.uint32)
                     for column, name in zip(made, columns, strict=True):
-                        column.append((s if name == "whole" else high if name == "set" else _prefix(high, ORDERS[name == "third"], limit)).tobytes())
+                        column.append(s.tobytes() if name == "whole" else high.tobytes() if name == "set" else _packed(high, ORDERS[name == "third"], limit))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), pa.array(sig, pa.int64()), *(pa.array(c, pa.binary()) for c in made)], names=["id", "sig", *columns])
 
     return docs.select("id", "text").mapInArrow(run, ", ".join([f"id {kind}, sig long", *(f"{c} binary" for c in columns)]))
@@ -329,12 +329,38 @@ def candidates(docs: DataFrame, limit: Threshold, often: np.ndarray, small: int)
 
 
 def _prefix(s: np.ndarray, order: np.uint32, limit: Threshold) -> np.ndarray:
-    """Sorted keys of a set's prefix under an order."""
+    """Sorted keys of a set's prefix under an order: linked sets have the smaller one's demand in common."""
     key = s * order
-    size = min(len(s), int(limit.prefix(len(s))) + 2)  # two more, for equal bits of two shingles
+    size = min(len(s), int(limit.prefix(len(s)) + limit.demand(len(s))) + 1)  # two more, for equal bits of two shingles
     return np.sort(np.partition(key, size - 1)[:size])
 
 
+def _packed(s: np.ndarray, order: np.uint32, limit: Threshold) -> bytes:
+    """A set's size and the upper 24 bits of its prefix's keys: fewer bits may make more tokens common, never fewer."""
+    keys = (_prefix(s, order, limit) >> np.uint32(8)).astype("<u4")
+    return len(s).to_bytes(4, "little") + keys.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[int, np.ndarray]:
+    """Size and keys of ``_packed``."""
+    raw = np.frombuffer(data, np.uint8, offset=4).reshape(-1, 3)
+    keys = np.zeros((len(raw), 4), np.uint8)
+    keys[:, :3] = raw
+    return int.from_bytes(data[:4], "little"), keys.view("<u4").ravel()
+
+
+def _marked(sets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``sets`` without most of those that are not in ``sigs`` (staged), before they are dealt."""
+    bits = marks(sigs.select("sig"), sigs.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = b.column(0).to_numpy()
+            yield b.filter(pa.array((bits[g >> 6 & len(bits) - 1] >> (g & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """Pairs (a, b) with the columns of both sides' sets, a's first."""
     left = sets.select(F.col("sig").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -342,15 +368,16 @@ def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
-def _filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that have a token in common under the second and under the third order."""
+def _filtered(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs that have the smaller demand in common under the second and under the third order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for k in range(batch.num_rows):
-                a2, a3, b2, b3 = (np.frombuffer(batch.column(c)[k].as_py(), np.uint32) for c in range(2, 6))
-                if _is_in(b2, a2).any() and _is_in(b3, a3).any():
+                (n_a, a2), (_, a3), (n_b, b2), (_, b3) = (_unpacked(batch.column(c)[k].as_py()) for c in range(2, 6))
+                need = min(limit.demand(n_a), limit.demand(n_b))
+                if limit.sizes_fit(n_a, n_b) and _is_in(b2, a2).sum() >= need and _is_in(b3, a3).sum() >= need:
                     keep.append(k)
             yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
@@ -372,7 +399,9 @@ def verify(pairs: DataFrame, sets: DataFrame, limit: Threshold, doubt: int = 3)
             some = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
 
-    return _sides(_filtered(pairs, sets), sets, "set").mapInArrow(run, "a long, b long, sure boolean")
+    left = stage(_filtered(pairs, sets, limit), "pairs")
+    few = _marked(sets.select("sig", "set"), left.select(F.explode(F.array("a", "b")).alias("sig")))
+    return _sides(left, few, "set").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def confirm(found: DataFrame, docs: DataFrame, names: DataFrame, limit: Threshold) -> DataFrame:
@@ -399,8 +428,9 @@ def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Thresh
     """Links (a, b, sure) between members of one family that are in different components so far, the ``refuted`` ones left out.
 
     The outliers of a family, its members outside the largest component, are dealt in blocks, and so are all
-    members; a block of outliers meets each block of members in a task, which drops members without a token in
-    common with any of the outliers under the second and third order.  What travels is members times blocks of outliers.
+    members; a block of outliers meets each block of members in a task, first by their prefixes under the second order.
+    Those that meet one of another component there are dealt once more, whole, and the task drops members without a token
+    in common with any of the outliers under both orders.  What travels is members times blocks of outliers.
     """
     rooted = families.select("hub", "sig").join(roots, families["sig"] == roots["node"]).select("hub", "sig", "root")
     sizes = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -413,8 +443,32 @@ def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Thresh
     asked = open_members.filter("out is not null").select("hub", "sig", "root", "out", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("asks"))
     told = open_members.select("hub", "sig", "root", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("out"), "own", F.lit(False).alias("asks"))
     parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.unionByName(told).join(sets.select("sig", "set"), "sig")
-    loaded = dealt.select("hub", "out", "own", "sig", "root", "asks", "set").repartition(parts, "hub", "out", "own").sortWithinPartitions("hub", "out", "own", F.desc("asks"), "sig")
+    dealt = stage(asked.unionByName(told), "dealt")
+
+    def loaded(dealt: DataFrame, column: str) -> DataFrame:
+        rows = dealt.join(_marked(sets.select("sig", column), dealt), "sig").select("hub", "out", "own", "sig", "root", "asks", column)
+        return rows.repartition(parts, "hub", "out", "own").sortWithinPartitions("hub", "out", "own", F.desc("asks"), "sig")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, shape = None, [], None
+
+        def met() -> pa.RecordBatch:
+            kept = [(*group, *held[k][:3]) for k in _meeting(held, limit)]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], f.type) for c, f in enumerate(shape)], names=[f.name for f in shape])
+
+        for batch in batches:
+            shape = [batch.schema.field(c) for c in range(6)]
+            for hub, out, own, sig, root, asks, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (hub, out, own) != group:
+                    if held:
+                        yield met()
+                    group, held = (hub, out, own), []
+                held.append((sig, root, asks, *_unpacked(data)))
+        if held:
+            yield met()
+
+    by_prefix = loaded(dealt, "second")
+    whole = loaded(stage(by_prefix.mapInArrow(meet, T.StructType(by_prefix.schema.fields[:6])), "met"), "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -433,7 +487,32 @@ def settle(families: DataFrame, roots: DataFrame, sets: DataFrame, limit: Thresh
         if held:
             yield links()
 
-    return loaded.mapInArrow(run, "a long, b long, sure boolean")
+    return whole.mapInArrow(run, "a long, b long, sure boolean")
+
+
+def _meeting(members: list, limit: Threshold) -> list[int]:
+    """Of a block's members (set, root, asks, size, prefix), those that ask first, which of them may be linked with one of another
+    component: as many tokens are common to both prefixes as the smaller demand."""
+    n = sum(m[2] for m in members)
+    if not n or n == len(members):
+        return []
+    code = {r: k for k, r in enumerate({m[1] for m in members})}
+    root = np.array([code[m[1]] for m in members])
+    sizes = np.array([m[3] for m in members])
+    token, owner = np.concatenate([m[4] for m in members[:n]]), np.repeat(np.arange(n), [len(m[4]) for m in members[:n]])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    met = np.zeros(len(members), bool)
+    for k in range(n, len(members)):
+        lo, hi = np.searchsorted(token, members[k][4]), np.searchsorted(token, members[k][4], "right")
+        many = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=n)
+        need = np.minimum(limit.demand(sizes[:n]), limit.demand(sizes[k]))
+        hit = (common >= need) & limit.sizes_fit(sizes[:n], sizes[k]) & (root[:n] != root[k])
+        met[k] = hit.any()
+        met[:n] |= hit
+    return np.flatnonzero(met).tolist()
 
 
 def _across(members: list, limit: Threshold, doubt: int, refuted: frozenset = frozenset()) -> tuple[list[int], list[int], list[bool]]:

@@ -99,6 +99,40 @@ def test_what_the_join_deals(spark, monkeypatch):
     assert max(named) < 60 and dealt[0].count() <= 100
 
 
+def test_only_sets_that_may_be_linked_are_dealt_whole(spark, monkeypatch):
+    """Texts with one line in common are a family and have hubs, but few tokens in common under the other orders."""
+    rng = random.Random(8)
+    line = "one line that very many of these texts have in common"
+    base = prose(rng, 150, 10**6).split()
+    rows = [(k, f"{line} {prose(rng, 150, 10**6)}") for k in range(60)]
+    rows += [(100 + k, " ".join([line, *(w if x % 150 != k * 7 else f"e{k}" for x, w in enumerate(base))])) for k in range(20)]
+    dealt, sides = [], ngram_join._sides
+    monkeypatch.setattr(ngram_join, "_sides", lambda pairs, sets, *c: (c == ("set",) and dealt.append(pairs.count())) or sides(pairs, sets, *c))
+    across = ngram_join._across
+    many = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(ngram_join, "_across", lambda members, *x: many.add(len(members)) or across(members, *x))
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, sets, limit, verify=ngram_join.verify: verify(pairs, sets, limit).filter("b % 3 = 0"))
+    got = ngram_join.classes(frame(spark, rows), small=4, hot=0, block=64)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_classes(rows)
+    assert max(dealt) <= 50 and 0 < many.value <= 200
+
+
+def test_meeting_loses_no_link():
+    """Sets at the edge of the threshold meet by their prefixes under either order, those of one component need not."""
+    rng, limit = np.random.default_rng(4), ngram_join.Threshold()
+    for n in (1, 2, 9, 24, 25, 60, 300, 1000):
+        for _ in range(20):
+            pool = rng.choice(2**32, 2 * n, False).astype(np.uint32)
+            least = -(-4 * 2 * n // 9)  # of two sets of n: 80 % of the union
+            s, t = np.sort(pool[:n]), np.sort(np.concatenate([pool[:least], pool[n : 2 * n - least]]))
+            assert limit.linked(least, n, n) and (n < 2 or not limit.linked(least - 1, n, n))
+            for order in ngram_join.ORDERS:
+                a, b = (ngram_join._unpacked(ngram_join._packed(x, order, limit)) for x in (s, t))
+                assert a[0] == b[0] == n
+                assert ngram_join._meeting([(1, "x", True, *a), (2, "y", False, *b)], limit) == [0, 1]
+                assert ngram_join._meeting([(1, "x", True, *a), (2, "x", False, *b)], limit) == []
+
+
 def near_copies(rng, n):
     """Short texts whose links are all close calls."""
     base = prose(rng, 34, 9000).split()
