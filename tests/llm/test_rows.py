@@ -275,6 +275,31 @@ def test_pii_additions(spark):
     assert texts[1].startswith("call [PHONE] or 9") and texts[2] == "x [IP] " * 3000
 
 
+def test_pii_learns_from_every_text(spark, monkeypatch):
+    """The examples that the trees and thresholds get are those of all distinct texts, each once."""
+    rows = [(k, f"call +1 ({200 + k % 700}) 555-{k % 10_000:04d} now {k}") for k in range(9_000)] + [(None, "only here: a@b.org")]
+    got, fit_binned = [], pii.boosting.fit_binned
+    monkeypatch.setattr(pii.boosting, "fit_binned", lambda b, y, weight, edges: got.append((y, weight)) or fit_binned(b, y, weight, edges))
+    model = pii.fit(frame(spark, rows + rows[:500]))
+    want = [(zlib.crc32(t.encode()) % 2, label) for _, t in rows for _, label in pii.examples(t)]
+    ((y, weight),) = got
+    assert weight[y == 1].sum() == sum(half == 0 and label for half, label in want)
+    assert weight[y == 0].sum() == sum(half == 0 and not label for half, label in want)
+    assert model.report[3][0] == sum(half == 1 and label and kind == 3 for _, t in rows for half in [zlib.crc32(t.encode()) % 2] for (kind, *_), label in pii.examples(t))
+
+
+def test_boosting_by_counts():
+    """Counted rows give the trees of the rows one by one."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (3000, 3)).astype(float)
+    y = (rng.random(3000) < (x[:, 0] + x[:, 1] * (x[:, 2] > 1)) / 12).astype(float)
+    each = boosting.fit(x, y)
+    assert all(np.array_equal(boosting.edges_of(*np.unique(x[:, j], return_counts=True)), e) for j, e in enumerate(each.edges))
+    row, n = np.unique(np.column_stack([each.binned(x), y]), axis=0, return_counts=True)
+    counted = boosting.fit_binned(row[:, :-1].astype(int), row[:, -1], n.astype(float), each.edges)
+    assert len(row) < 200 and np.allclose(counted.predict(x), each.predict(x))
+
+
 def test_pii_long_runs():
     """A million digits, and many hits in one text, take linear time."""
     from time import perf_counter
