@@ -311,6 +311,39 @@ def test_hot_passage_in_buffers(spark):
     assert max(sum(r["ref_doc_id"] == k for r in got) for k in range(300)) < 200
 
 
+@pytest.mark.parametrize("buffer_bytes", [4000, 32 << 20])
+def test_partners_by_hot_seeds(spark, buffer_bytes):
+    """Texts whose only common seeds lie in a line that many texts hold, far apart in the order of ids: beside the line runs of
+    four words are equal, or of two, or single ones (80 % in all)."""
+    rng = random.Random(18)
+    rows, want = [], {}
+    for line, run, turns in ((13, 4, 3), (16, 2, 4), (24, 1, 4)):
+        hot, first = prose(rng, line, 9000), len(rows)
+        left, right = ([prose(rng, run, 9000) for _ in range(turns)] for _ in range(2))
+        for k in range(90):
+            if k not in (40, 89):
+                sides = [prose(rng, turns * (run + 1), 9000) for _ in range(2)]
+            else:
+                sides = [" ".join(f"{w} x{rng.randrange(10**9)}" for w in left), " ".join(f"x{rng.randrange(10**9)} {w}" for w in right)]
+            rows.append((first + k, " ".join([prose(rng, 5, 9000), sides[0], hot, sides[1], prose(rng, 5, 9000)] if k else [prose(rng, 30, 9000), hot])))
+        want[first + 89] = (first + 40, 2 * turns * run + line)
+    got = substrings.repeats(frame(spark, rows).repartition(5), options=substrings.Options(buffer_bytes=buffer_bytes)).collect()
+    assert {r["doc_id"]: (r["ref_doc_id"], r["equal_words"]) for r in got} == want
+
+
+def test_settled_places_leave_other_partners(spark):
+    """Copies of a text are taken once, and all partners of seeds that are not hot are found."""
+    rng = random.Random(19)
+    p = prose(rng, 60, 9000).split()
+    changed = [" ".join(w if x % 20 != k else f"c{k}" for x, w in enumerate(p)) for k in range(20)]
+    rows = [(k, " ".join([prose(rng, 15, 9000), t, prose(rng, 15, 9000)])) for k, t in enumerate(changed)]
+    got = {(r["doc_id"], r["ref_doc_id"]) for r in substrings.repeats(frame(spark, rows)).collect()}
+    assert got == {(a, b) for a in range(20) for b in range(a)}
+    rows = [(k, " ".join(p)) for k in range(80)]
+    got = substrings.repeats(frame(spark, rows)).collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 80)) and {(r["start"], r["end"]) for r in got} == {(0, 60)}
+
+
 def test_chains_follow_brute_force():
     """The best chain's score is that of a quadratic program, and every fragment is in one chain."""
     rng = np.random.default_rng(5)
