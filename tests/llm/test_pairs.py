@@ -331,6 +331,31 @@ def test_partners_by_hot_seeds(spark, buffer_bytes):
     assert {r["doc_id"]: (r["ref_doc_id"], r["equal_words"]) for r in got} == want
 
 
+def test_disk_of_hot_seeds(spark):
+    """The tokens around a place of a hot seed travel as one row (of a very hot one: a row a part), and shuffle files don't outlive their step."""
+    o, rng = substrings.Options(), random.Random(20)
+    texts = [(k, prose(rng, 200, 9000)) for k in range(50)]
+    docs = frame(spark, texts).selectExpr("doc_id id", "text")
+    for many, parts in ((50, 1), (5 << 10, 5)):
+        places = spark.createDataFrame([(k, 7, x, True, many) for k, _ in texts for x in (3, 100)], "id long, seed long, place int, open boolean, many long")
+        got = substrings._spread(places, docs, o, 0).collect()
+        assert len(got) == 100 * parts
+        tokens = {}
+        for r in got:
+            own = tokens.setdefault((r["id"], r["place"]), {})
+            assert len(r["tokens"]) == 2 * len(r["marks"])
+            own.update(zip((int(x) // 2 for x in np.frombuffer(r["marks"], np.uint16)), np.frombuffer(r["tokens"], np.uint32).tolist(), strict=True))
+        assert {(p, len(t)) for (_, p), t in tokens.items()} == {(3, 3 + o.k + 74 - 2), (100, 74 + o.k + 74 - 2)}
+        assert all(sorted(t) == list(range(len(t))) for t in tokens.values())
+
+    def shuffles():
+        return {f.getName().split("_")[1] for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = shuffles()
+    assert substrings.repeats(frame(spark, [(k, t) for k, (_, t) in enumerate(texts + texts)])).count() == 50
+    assert len(shuffles() - before) <= 2  # the sum of the sizes, the count
+
+
 def test_settled_places_leave_other_partners(spark):
     """Copies of a text are taken once, and all partners of seeds that are not hot are found."""
     rng = random.Random(19)
