@@ -336,7 +336,7 @@ def test_disk_of_hot_seeds(spark):
     o, rng = substrings.Options(), random.Random(20)
     texts = [(k, prose(rng, 200, 9000)) for k in range(50)]
     docs = frame(spark, texts).selectExpr("doc_id id", "text")
-    for many, parts in ((50, 1), (5 << 10, 5)):
+    for many, parts in ((50, 1), (5 << 13, 5)):
         places = spark.createDataFrame([(k, 7, x, True, many) for k, _ in texts for x in (3, 100)], "id long, seed long, place int, open boolean, many long")
         got = substrings._spread(places, docs, o, 0).collect()
         assert len(got) == 100 * parts
