@@ -43,6 +43,20 @@ def test_products_of_one_inner_block_are_not_dealt(spark):
         config.broadcast_rows = before
 
 
+def test_operands_of_short_fractions_are_dealt_at_half_their_size(spark):
+    rng = np.random.default_rng(3)
+    whole = rng.normal(size=(21, 3))
+    short = whole.astype(np.float32).astype(np.float64)
+    short[0], short[9] = (np.inf, -0.0, np.nan), (2.0**100, 2.0**-149, 0)
+    for x, size in ((short, 4), (whole, 8)):
+        a = blocks.pack(from_table(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "i long, j long, v double"), ["i", "j"], "v", x.shape, dense=2), 4)
+        met, _ = blocks._on_grid(a, blocks.transpose(a), 6)
+        for r in met.collect():
+            assert (len(r["x"]), len(r["y"])) == (size * r["rows"] * r["inner"], size * r["inner"] * r["cols"])
+        with np.errstate(all="ignore"):
+            assert np.allclose(dense(blocks.unpack(blocks.multiply(a, blocks.transpose(a)))), x @ x.T, rtol=1e-14, atol=1e-14, equal_nan=True)
+
+
 def test_round_trip_and_sum(spark):
     a, b = matrix(spark, 10, 7), matrix(spark, 10, 7, "()(n,m)")
     assert np.array_equal(dense(blocks.unpack(blocks.pack(a, 4))), dense(a))
